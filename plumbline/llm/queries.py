@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import splits, stable, targets, topn
+from plumbline.llm import encode, mixing, splits, stable, targets, topn
+from plumbline.session import cut
+from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,4 +51,41 @@ def p6_sample(spark: SparkSession, folder: str) -> DataFrame:
     return stable.sampled_findings(spark, folder).where("selected").groupBy("finding_id").agg(F.max("by_rate").alias("by_rate"), F.max("by_earlier").alias("by_earlier"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_sample, p6_found, p6_sample)}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of every document's text."""
+    return encode.encode(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "ids").distinct()
+
+
+def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose ids don't decode to their text: none."""
+    done = encode.encode(table(spark, folder, "documents", "doc_id", "text"))
+    return done.where(encode.decode(F.col("ids")) != F.coalesce("text", F.lit(""))).select("doc_id")
+
+
+def _mix_plan(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = encode.source_sizes(table(spark, folder, "documents", "source", "text"))
+    return mixing.plan(table(spark, folder, "mix_targets"), sizes)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets that their source cannot fill within its cap."""
+    return _mix_plan(spark, folder).where("unmet").select("mix_id", "source").distinct()
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = encode.encode(table(spark, folder, "documents", "doc_id", "source", "text").where("source IS NOT NULL"))
+    planned = cut(_mix_plan(spark, folder))
+    return mixing.mix(docs.select("doc_id", "source", F.size("ids").alias("tokens")), planned), planned
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of every mix with their copies."""
+    return _mixed(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the mixes reached."""
+    return mixing.shares(*_mixed(spark, folder))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_sample, p6_found, p6_sample, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares)}
