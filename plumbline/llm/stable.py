@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.keys import hex_long, uuid_hex
@@ -11,14 +11,16 @@ from plumbline.sources.tables import table
 ROUNDS = 6
 
 
-def feistel(high: Column, low: Column, seed: int = 42, rounds: int = ROUNDS) -> tuple[Column, Column]:
-    """A permutation of the 128-bit identifiers (two signed longs): a Feistel network with a keyed 64-bit hash.
+def feistel(df: DataFrame, high: str, low: str, seed: int = 42, rounds: int = ROUNDS) -> DataFrame:
+    """``df`` with its columns ``high`` and ``low`` (two signed longs) permuted as one 128-bit identifier.
 
-    One-to-one for every seed, without state, computed in the JVM. Null halves give nulls.
+    A Feistel network with a keyed 64-bit hash: one-to-one for every seed, without state, computed in the JVM.
+    Every round is a projection of its own, so that each hash is computed once. Null halves give nulls.
     """
     for i in range(rounds):
-        high, low = low, high.bitwiseXOR(F.xxhash64(F.lit(seed * 1000 + i).cast("long"), low))
-    return high, low
+        mixed = F.col(high).bitwiseXOR(F.xxhash64(F.lit(seed * 1000 + i).cast("long"), F.col(low)))
+        df = df.withColumns({high: F.col(low), low: mixed})
+    return df
 
 
 def stable_sample(df: DataFrame, uid: str, rate: float, seed: int = 42, earlier: DataFrame | None = None) -> DataFrame:
@@ -38,8 +40,8 @@ def stable_sample(df: DataFrame, uid: str, rate: float, seed: int = 42, earlier:
     def slots(rows: DataFrame, c: str) -> DataFrame:
         hexa = uuid_hex(rows[c])
         rows = rows.withColumn("__hex", hexa).where("__hex IS NOT NULL")
-        high, low = feistel(hex_long(F.substring("__hex", 1, 16)), hex_long(F.substring("__hex", 17, 16)), seed)
-        return rows.withColumns({"slot_high": high, "slot_low": low}).drop("__hex")
+        rows = rows.withColumns({"slot_high": hex_long(F.substring("__hex", 1, 16)), "slot_low": hex_long(F.substring("__hex", 17, 16))})
+        return feistel(rows.drop("__hex"), "slot_high", "slot_low", seed)
 
     edge = int(rate * 2**64) - 2**63  # the signed form of rate x 2^64
     under = F.lit(True) if edge >= 2**63 else F.col("slot_high") < F.lit(edge).cast("long")
