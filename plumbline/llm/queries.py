@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import encode, mixing, splits, stable, targets, topn
+from plumbline.llm import encode, mixing, splits, stable, syntax, targets, topn
 from plumbline.session import cut
 from plumbline.sources.tables import table
 
@@ -88,4 +88,23 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_sample, p6_found, p6_sample, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares)}
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.faults(table(spark, folder, "source_files", "file_id", "slug", "path", "content"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that are not valid source of the language their name claims."""
+    return _judged(spark, folder).where("NOT valid").select("file_id").distinct()
+
+
+def p5_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """What is wrong with them, and the language they are valid in, if any."""
+    return _judged(spark, folder).where("NOT valid OR fault IS NOT NULL").select("file_id", "claimed", "fault", "parses_as", "wrong")
+
+
+def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates by plugin and claimed language."""
+    return syntax.rates(_judged(spark, folder))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_sample, p5_found, p5_faults, p5_rates, p6_found, p6_sample, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares)}
