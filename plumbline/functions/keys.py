@@ -50,8 +50,8 @@ def label_key(c: Column | str) -> Column:
 
 def uuid_hex(c: Column | str) -> Column:
     """The 32 hexadecimal digits of a UUID in any usual notation, else null."""
-    digits = F.regexp_replace(F.lower(F.trim(_col(c))), r"^urn:uuid:|[{}\-\s]", "")
-    return F.when(digits.rlike("^[0-9a-f]{32}$"), digits)
+    digits = F.translate(F.replace(F.lower(F.trim(_col(c))), F.lit("urn:uuid:"), F.lit("")), "{}- \t", "")
+    return F.when((F.length(digits) == 32) & (F.translate(digits, "0123456789abcdef", "") == ""), digits)
 
 
 def hex_long(c: Column | str) -> Column:
