@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import encode, mixing, splits, stable, syntax, targets, topn
+from plumbline.llm import encode, handwritten, mixing, splits, stable, syntax, targets, topn
 from plumbline.session import cut
 from plumbline.sources.tables import table
 
@@ -88,6 +88,21 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, folder))
 
 
+def _kinds(spark: SparkSession, folder: str) -> DataFrame:
+    library = [r["content"] for r in table(spark, folder, "vendor_library", "content").where("content IS NOT NULL").collect()]  # 48 files, a fixed table
+    return handwritten.kinds(table(spark, folder, "source_files", "file_id", "slug", "path", "content"), library)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that their plugin's makers did not write by hand."""
+    return _kinds(spark, folder).where("kind IS NOT NULL").select("file_id").distinct()
+
+
+def p4_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """What these files are."""
+    return _kinds(spark, folder).where("kind IS NOT NULL").select("file_id", "kind")
+
+
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.faults(table(spark, folder, "source_files", "file_id", "slug", "path", "content"))
 
@@ -107,4 +122,4 @@ def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.rates(_judged(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_sample, p5_found, p5_faults, p5_rates, p6_found, p6_sample, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_sample, p4_found, p4_kinds, p5_found, p5_faults, p5_rates, p6_found, p6_sample, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares)}
