@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import encode, handwritten, mixing, splits, stable, syntax, targets, topn
+from plumbline.llm import encode, handwritten, mixing, spam, splits, stable, syntax, targets, topn
 from plumbline.session import cut
 from plumbline.sources.tables import table
 
@@ -122,4 +122,18 @@ def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.rates(_judged(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_sample, p4_found, p4_kinds, p5_found, p5_faults, p5_rates, p6_found, p6_sample, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares)}
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.score(table(spark, folder, "documents", "doc_id", "slug", "text"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are mostly stuffed keywords, links or product entries."""
+    return _scored(spark, folder).where("score >= 0.5").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every document and of its host."""
+    return _scored(spark, folder).select("doc_id", "slug", F.round("page", 4).alias("page"), F.round("host_rate", 4).alias("host_rate"), F.round("score", 4).alias("score"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_sample, p4_found, p4_kinds, p5_found, p5_faults, p5_rates, p6_found, p6_sample, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares, p9_found, p9_scores)}
