@@ -50,8 +50,10 @@ def label_key(c: Column | str) -> Column:
 
 def uuid_hex(c: Column | str) -> Column:
     """The 32 hexadecimal digits of a UUID in any usual notation, else null."""
-    digits = F.translate(F.replace(F.lower(F.trim(_col(c))), F.lit("urn:uuid:"), F.lit("")), "{}- \t", "")
-    return F.when((F.length(digits) == 32) & (F.translate(digits, "0123456789abcdef", "") == ""), digits)
+    digits = F.lower(F.trim(_col(c)))
+    for mark in ("-", "urn:uuid:", "{", "}"):
+        digits = F.replace(digits, F.lit(mark), F.lit(""))
+    return F.when((F.length(digits) == 32) & F.unhex(digits).isNotNull(), digits)
 
 
 def hex_long(c: Column | str) -> Column:
