@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.plans import analyses, reports
+
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "k1_ranked"
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+FLAGSHIP = "k01_ranked"
+QUERIES: dict[str, Query] = {name: partial(reports.run, name=name) for name in reports.REPORTS} | analyses.QUERIES
+SQL: dict[str, str] = {name: reports.duck(name) for name in reports.REPORTS} | analyses.SQL
