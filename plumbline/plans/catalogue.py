@@ -7,9 +7,9 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import analyses, reports
+from plumbline.plans import analyses, reports, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "k01_ranked"
-QUERIES: dict[str, Query] = {name: partial(reports.run, name=name) for name in reports.REPORTS} | analyses.QUERIES
+FLAGSHIP = "scan_sources"
+QUERIES: dict[str, Query] = {name: partial(reports.run, name=name) for name in reports.REPORTS} | analyses.QUERIES | scans.QUERIES
 SQL: dict[str, str] = {name: reports.duck(name) for name in reports.REPORTS} | analyses.SQL
