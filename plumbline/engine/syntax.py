@@ -51,6 +51,8 @@ def lex(text: str) -> list[tuple[str, str, int]]:
                 out.append(("op", ";", line))
                 line += value.count("\n")
                 break
+            if kind == "name" and value.lower() == "__halt_compiler":
+                return out  # data follows
             if kind != "ws":
                 out.append((kind, value, line))
             line += value.count("\n")
@@ -65,6 +67,7 @@ class Parser:
     # tokens
     @property
     def kind(self) -> str:
+        self.i = min(self.i, len(self.toks) - 1)
         return self.toks[self.i][0]
 
     @property
@@ -257,6 +260,8 @@ class Parser:
         while self.eat("catch"):
             self.need("(")
             while not self.eat(")"):
+                if self.kind == "end":
+                    raise Damaged(")")
                 self.i += 1
             catches.append(self.block())
         if self.eat("finally"):
@@ -510,6 +515,8 @@ class Parser:
                 arms = []
                 while not self.eat("}"):
                     while not self.eat("=>"):
+                        if self.kind == "end":
+                            raise Damaged("}")
                         if not self.eat(",") and not self.eat("default"):
                             self.expr()
                     arms.append(self.expr())

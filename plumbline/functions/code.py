@@ -1,0 +1,150 @@
+"""Functions on source text that need a scanner instead of a pattern."""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+CLOSES = {"(": ")", "[": "]", "{": "}"}
+
+
+def balanced(text: str, start: int) -> int:
+    """Index behind the bracket that closes the one at ``start``, -1 if none does; quotes and escapes are passed over."""
+    stack, i, n = [], start, len(text)
+    while i < n:
+        c = text[i]
+        if c in "'\"":
+            i += 1
+            while i < n and text[i] != c:
+                i += 2 if text[i] == "\\" else 1
+        elif c in CLOSES:
+            stack.append(CLOSES[c])
+        elif c in ")]}":
+            if not stack or stack.pop() != c:
+                return -1
+            if not stack:
+                return i + 1
+        i += 1
+    return -1
+
+
+def call_arguments(text: str, name: str) -> list[str]:
+    """The argument text of every call of a function."""
+    out = []
+    for m in re.finditer(rf"(?<![\w$>:]){re.escape(name)}\s*\(", text or ""):
+        end = balanced(text, m.end() - 1)
+        if end > 0:
+            out.append(text[m.end() : end - 1])
+    return out
+
+
+def split_arguments(text: str) -> list[str]:
+    """Arguments at the top level of an argument text."""
+    out, start, i, depth = [], 0, 0, 0
+    while i < len(text):
+        c = text[i]
+        if c in "'\"":
+            i += 1
+            while i < len(text) and text[i] != c:
+                i += 2 if text[i] == "\\" else 1
+        elif c in CLOSES:
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+        elif c == "," and not depth:
+            out.append(text[start:i].strip())
+            start = i + 1
+        i += 1
+    last = text[start:].strip()
+    return [*out, last] if last else out
+
+
+def key_value(text: str, key: str) -> str | None:
+    """Value of ``'key' => value`` in an array text, whole even if it holds brackets."""
+    m = re.search(rf"['\"]{re.escape(key)}['\"]\s*=>\s*", text or "")
+    return split_arguments(text[m.end() :])[0] if m and split_arguments(text[m.end() :]) else None
+
+
+def callback_name(text: str) -> str | None:
+    """Terminal name of a callback argument: string, ``array($this, 'm')``, ``X::class``; null for closures and variables."""
+    text = (text or "").strip()
+    if re.match(r"(?:static\s+)?(?:function|fn)\b", text):
+        return None
+    quoted = re.findall(r"['\"]([\w\\:]+)['\"]", text)
+    if quoted:
+        return re.split(r"::|\\", quoted[-1])[-1]
+    m = re.match(r"([A-Za-z_]\w*)$", text)
+    return m[1] if m else None
+
+
+def enclosing(lines: list[str], line: int) -> tuple[int, int] | None:
+    """First and last line (1-based) of the function around a line, by counting braces."""
+    for top in range(min(line, len(lines)) - 1, -1, -1):
+        if re.search(r"\bfunction\b", lines[top]):
+            depth, seen = 0, False
+            for i in range(top, len(lines)):
+                depth += lines[i].count("{") - lines[i].count("}")
+                seen = seen or "{" in lines[i]
+                if seen and depth <= 0:
+                    return (top + 1, i + 1) if i + 1 >= line else None
+            return None
+    return None
+
+
+def excerpt(text: str, line: int) -> str:
+    """The code to look at for a line: its function, cut to 40 lines around if longer than 80, 6 around where there is none or it is too long."""
+    lines = (text or "").split("\n")
+    around = "\n".join(lines[max(0, line - 7) : line + 6])
+    span = enclosing(lines, line)
+    if not span:
+        return around[:6000]
+    a, b = span
+    if b - a + 1 > 80:
+        a, b = max(a, line - 40), min(b, line + 40)
+    out = "\n".join(lines[a - 1 : b])
+    return out if len(out) <= 6000 else around[:6000]
+
+
+def last_json(text: str, wanted: str = "is_vulnerable") -> str | None:
+    """The last JSON object in a text, of those with the wanted key if there are any."""
+    found, good, decoder = None, None, json.JSONDecoder()
+    for m in re.finditer(r"\{", text or ""):
+        try:
+            value, _ = decoder.raw_decode(text, m.start())
+        except ValueError:
+            continue
+        if isinstance(value, dict):
+            found = value
+            good = value if wanted in value else good
+    best = good or found
+    return json.dumps(best, sort_keys=True) if best is not None else None
+
+
+def signed(secret: str, value: str) -> str:
+    return hmac.new(secret.encode(), value.encode(), hashlib.sha256).hexdigest()
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def call_arguments_udf(text: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([call_arguments(t, n) for t, n in zip(text, name)])
+
+
+@F.pandas_udf(T.StringType())
+def excerpt_udf(text: pd.Series, line: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else excerpt(t, int(n or 0)) for t, n in zip(text, line)])
+
+
+@F.pandas_udf(T.StringType())
+def last_json_udf(text: pd.Series) -> pd.Series:
+    return text.map(last_json)
+
+
+@F.pandas_udf(T.StringType())
+def callback_name_udf(text: pd.Series) -> pd.Series:
+    return text.map(callback_name)
