@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut
+from plumbline.session import cut, stored
 
 
 def closure(edges: DataFrame, rounds: int = 64) -> tuple[DataFrame, dict]:
@@ -14,11 +14,11 @@ def closure(edges: DataFrame, rounds: int = 64) -> tuple[DataFrame, dict]:
     Semi-naive: a round joins only what the last one found. Cycles end because a pair is kept at its first depth.
     """
     base = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("node IS NOT NULL AND ancestor IS NOT NULL AND node <> ancestor").distinct()
-    known = cut(base.withColumn("depth", F.lit(1)))
+    known = stored(base.withColumn("depth", F.lit(1)), "closure")
     delta, n = known, 1
     while n < rounds:
         step = delta.alias("d").join(base.alias("b"), F.col("d.ancestor") == F.col("b.node")).select(F.col("d.node").alias("node"), F.col("b.ancestor").alias("ancestor")).where("node <> ancestor").distinct()
-        delta = cut(step.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(n + 1)))
+        delta = stored(step.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(n + 1)), "closure")
         if delta.isEmpty():
             return known, {"converged": True, "rounds": n}
         known, n = known.unionByName(delta), n + 1

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def read_deliveries(spark: SparkSession, folder: str, schema, files: int = 1) -> DataFrame:
     """Parquet deliveries of a folder as a stream, so many files at a time."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+    return raw.withColumn("scanned_at", F.col("scanned_at").cast("timestamp"))  # watermarks need a time zone
 
 
 def deduplicated(stream: DataFrame, late: str = "30 days") -> DataFrame:
