@@ -144,8 +144,8 @@ def source_sizes(docs: DataFrame, group: str = "source", text: str = "text", pat
     """
     ranks = ranks_column(path)
     words = docs.where(F.col(group).isNotNull()).select(F.col(group), F.explode(words_of(F.col(text))).alias("word"))
-    counted = stored(words.groupBy(group, "word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
-    known = counted.withColumn("__id", rank_of(hex_of(F.col("word")), ranks))
+    counted = words.groupBy(group, "word").agg(F.count(F.lit(1)).alias("n"))
+    known = stored(counted.withColumn("__id", rank_of(hex_of(F.col("word")), ranks)), "word-counts")
     plain = known.where("__id IS NOT NULL").select(group, F.col("n").alias("tokens"))
     other = known.where("__id IS NULL").select(group, "word", "n")
     sized = dictionary(other, path).select("word", F.size("ids").alias("__t"))
