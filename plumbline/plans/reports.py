@@ -53,7 +53,7 @@ REPORTS: dict[str, str] = {
     "j25_multiset": "SELECT path, line, cls, sink FROM @F WHERE tool = 'wisp' EXCEPT ALL SELECT path, line, cls, sink FROM @F WHERE tool = 'wpt'",
     # aggregations
     "a01_keep_best": "SELECT slug, path, line, cls, sink, finding_id, conf FROM (SELECT *, row_number() OVER (PARTITION BY slug, path, line, cls, sink ORDER BY coalesce(conf, -1.0) DESC, finding_id) AS n FROM @F) AS x WHERE n = 1",
-    "a02_cap_one": "SELECT slug, path, finding_id FROM (SELECT slug, path, finding_id, row_number() OVER (PARTITION BY slug, path ORDER BY rank, finding_id) AS n FROM @F WHERE cls = 'deserial') AS x WHERE n = 1",
+    "a02_cap_one": "SELECT slug, path, finding_id FROM (SELECT slug, path, finding_id, row_number() OVER (PARTITION BY slug, path ORDER BY rank NULLS FIRST, finding_id) AS n FROM @F WHERE cls = 'deserial') AS x WHERE n = 1",
     "a03_classes": "SELECT coalesce(cls, 'none') AS cls, count(*) AS n FROM @F GROUP BY coalesce(cls, 'none')",
     "a04_emission": "SELECT coalesce(cls, 'ALL') AS cls, count(*) AS records, count(*) FILTER (WHERE hit) AS hits FROM (SELECT rkey, cls, bool_or(in_file) AS hit FROM @GEO WHERE cls IS NOT NULL GROUP BY rkey, cls) AS x GROUP BY ROLLUP (cls)",
     "a05_shard_merge": "SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(hits) AS BIGINT) AS hits, round(sum(hits) * 1.0 / sum(n), 9) AS rate FROM (SELECT tool, count(*) AS n, count(*) FILTER (WHERE in_file) AS hits FROM @GEO GROUP BY tool) AS x",
@@ -78,7 +78,7 @@ REPORTS: dict[str, str] = {
     "k04_precision_at_k": "SELECT tool, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(m) AS BIGINT) AS shown, round(sum(tp) * 1.0 / sum(m), 9) AS precision_5 FROM (SELECT k.tool, k.rkey, count(DISTINCT CASE WHEN g.in_file THEN k.finding_id END) AS tp, least(5, count(DISTINCT k.finding_id)) AS m FROM @RK k JOIN @GEO g ON g.finding_id = k.finding_id WHERE k.rk <= 5 GROUP BY k.tool, k.rkey) AS x GROUP BY tool",
     "k05_first_hits": "SELECT k.rkey, k.tool, min(CASE WHEN g.in_file THEN k.rk END) AS first_file, min(CASE WHEN g.distance <= 5 THEN k.rk END) AS first_near, min(CASE WHEN g.in_hunk THEN k.rk END) AS first_hunk FROM @RK k JOIN @GEO g ON g.finding_id = k.finding_id GROUP BY k.rkey, k.tool",
     "k06_miss_buckets": "SELECT tool, bucket, count(*) AS records FROM (SELECT rkey, tool, CASE WHEN first IS NULL THEN 'wrong_file' WHEN first > 1 THEN 'ranked_below_1' ELSE 'at_1' END AS bucket FROM (SELECT k.rkey, k.tool, min(CASE WHEN g.in_file THEN k.rk END) AS first FROM @RK k JOIN @GEO g ON g.finding_id = k.finding_id GROUP BY k.rkey, k.tool) AS y) AS x GROUP BY tool, bucket",
-    "k09_variants": "SELECT w.flow, count(*) AS lists, count(*) FILTER (WHERE x.changed) AS changed FROM (SELECT 0.0 AS flow UNION ALL SELECT 2.0 UNION ALL SELECT 4.0) AS w JOIN (SELECT w2.flow, k.rkey, k.tool, bool_or(k.rk = 1 AND k.n2 <> 1) AS changed FROM (SELECT rkey, tool, rk, finding_id, w1.flow, row_number() OVER (PARTITION BY w1.flow, rkey, tool ORDER BY round(score + (w1.flow - 1.0) * coalesce(conf, 0.6), 6) DESC, rank, finding_id) AS n2 FROM @RK JOIN (SELECT 0.0 AS flow UNION ALL SELECT 2.0 UNION ALL SELECT 4.0) AS w1 ON true) AS k JOIN (SELECT 0.0 AS flow UNION ALL SELECT 2.0 UNION ALL SELECT 4.0) AS w2 ON w2.flow = k.flow GROUP BY w2.flow, k.rkey, k.tool) AS x ON x.flow = w.flow GROUP BY w.flow",
+    "k09_variants": "SELECT w.flow, count(*) AS lists, count(*) FILTER (WHERE x.changed) AS changed FROM (SELECT 0.0 AS flow UNION ALL SELECT 2.0 UNION ALL SELECT 4.0) AS w JOIN (SELECT w2.flow, k.rkey, k.tool, bool_or(k.rk = 1 AND k.n2 <> 1) AS changed FROM (SELECT rkey, tool, rk, finding_id, w1.flow, row_number() OVER (PARTITION BY w1.flow, rkey, tool ORDER BY round(score + (w1.flow - 1.0) * coalesce(conf, 0.6), 6) DESC, rank NULLS FIRST, finding_id) AS n2 FROM @RK JOIN (SELECT 0.0 AS flow UNION ALL SELECT 2.0 UNION ALL SELECT 4.0) AS w1 ON true) AS k JOIN (SELECT 0.0 AS flow UNION ALL SELECT 2.0 UNION ALL SELECT 4.0) AS w2 ON w2.flow = k.flow GROUP BY w2.flow, k.rkey, k.tool) AS x ON x.flow = w.flow GROUP BY w.flow",
     "k12_random_order": "SELECT seed, count(DISTINCT CASE WHEN hit AND n <= 3 THEN rkey END) AS hits FROM (SELECT s.seed, f.rkey, h.hit, row_number() OVER (PARTITION BY s.seed, f.rkey, f.tool ORDER BY md5(s.seed || '|' || f.finding_uid)) AS n FROM @F f JOIN (SELECT finding_id, bool_or(in_file) AS hit FROM @GEO GROUP BY finding_id) AS h ON h.finding_id = f.finding_id JOIN (SELECT '1' AS seed UNION ALL SELECT '2' UNION ALL SELECT '3') AS s ON true) AS x GROUP BY seed",
     "k13_top_sinks": "SELECT cls, sink, n FROM (SELECT cls, sink, n, row_number() OVER (PARTITION BY cls ORDER BY n DESC, sink) AS i FROM (SELECT cls, sink, count(*) AS n FROM @F WHERE cls IS NOT NULL AND sink IS NOT NULL GROUP BY cls, sink) AS y) AS x WHERE i <= 3",
     "k14_occurrence": "SELECT finding_id, row_number() OVER (PARTITION BY rkey, tool, path, line, cls ORDER BY finding_id) - 1 AS occurrence FROM @F",
@@ -114,6 +114,35 @@ REPORTS: dict[str, str] = {
     "q06_disputed": "SELECT a.slug, a.path, a.line, min(a.cls) AS a, min(b.cls) AS b FROM @F a JOIN @F b ON a.slug = b.slug AND a.path = b.path AND a.line = b.line WHERE a.tool = 'wisp' AND b.tool = 'progpilot' AND a.cls <> b.cls GROUP BY a.slug, a.path, a.line",
     "q11_failure_policy": "SELECT record_id, CASE WHEN zip_errors > 0 THEN 'error' WHEN files_with_error > 0 THEN 'non_converged' END AS reason FROM parser_coverage",
     "q12_fingerprint": "SELECT count(*) AS n, count(DISTINCT rkey) AS records, md5(min(md5(finding_uid)) || max(md5(finding_uid))) AS mark FROM @F",
+    # more joins, sums and checks
+    "s12_resolved": "SELECT p.record_id, coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NOT NULL THEN 'named' WHEN b.path IS NOT NULL THEN 'first' END AS how FROM (SELECT DISTINCT record_id, slug FROM plugins) AS p LEFT JOIN (SELECT record_id, min(path) AS path FROM source_files WHERE lower(path) LIKE '%/index.php' GROUP BY record_id) AS a ON a.record_id = p.record_id LEFT JOIN (SELECT record_id, min(path) AS path FROM source_files GROUP BY record_id) AS b ON b.record_id = p.record_id",
+    "v01_vocabulary": "SELECT vuln_class, count(*) AS names, min(alias) AS first FROM class_aliases GROUP BY vuln_class",
+    "v03_shadowed": "SELECT DISTINCT a.sink FROM @F a WHERE EXISTS (SELECT 1 FROM @F b WHERE b.slug = a.slug AND lower(b.fn) = lower(a.sink))",
+    "v13_slices": "SELECT finding_id, CASE WHEN message LIKE '%esc\\_%' OR message LIKE '%sanitize\\_%' THEN 'guarded' WHEN source LIKE '$\\_%' THEN 'likely' ELSE 'unclear' END AS reachability FROM @F",
+    "a07_class_sets": "SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS missed, round(sum(tp) * 1.0 / nullif(sum(tp) + sum(fp), 0), 9) AS precision_proxy, round(sum(tp) * 1.0 / nullif(sum(tp) + sum(fn), 0), 9) AS recall FROM (SELECT coalesce(a.slug, b.slug) AS slug, count(*) FILTER (WHERE a.cls IS NOT NULL AND b.cls IS NOT NULL) AS tp, count(*) FILTER (WHERE b.cls IS NULL) AS fp, count(*) FILTER (WHERE a.cls IS NULL) AS fn FROM (SELECT DISTINCT slug, cls FROM @F WHERE tool = 'wisp' AND cls IS NOT NULL) AS a FULL OUTER JOIN (SELECT DISTINCT slug, cls FROM @F WHERE tool <> 'wisp' AND cls IS NOT NULL) AS b ON a.slug = b.slug AND a.cls = b.cls GROUP BY coalesce(a.slug, b.slug)) AS x",
+    "a11_rates": "SELECT coalesce(ep, 'ALL') AS ep, count(*) FILTER (WHERE in_file AND inter) AS tp, count(*) FILTER (WHERE NOT in_file AND NOT inter) AS tn, count(*) FILTER (WHERE in_file AND NOT inter) AS missed, count(*) FILTER (WHERE NOT in_file AND inter) AS fp FROM @GEO WHERE inter IS NOT NULL AND ep IS NOT NULL GROUP BY ROLLUP (ep)",
+    "a13_failures": "SELECT CASE WHEN zip_errors > 0 THEN 'archive' WHEN files_with_error > 0 THEN 'syntax' WHEN skipped_no_open_tag > 0 THEN 'no tag' ELSE 'none' END AS cause, count(*) AS releases, CAST(sum(total_php_files) AS BIGINT) AS files FROM parser_coverage GROUP BY 1",
+    "a15_census": "SELECT count(*) AS releases, count(*) FILTER (WHERE files_with_error = 0) AS clean, count(*) FILTER (WHERE files_with_error IS NULL) AS unknown, round(count(*) FILTER (WHERE files_with_error = 0) * 1.0 / count(files_with_error), 9) AS rate_of_known FROM parser_coverage",
+    "a16_transitions": "SELECT before, after, count(*) AS n FROM (SELECT a.finding_uid, coalesce(CAST(a.wave_id AS BIGINT), 0) AS before, min(b.wave_id) AS after FROM study_sample a LEFT JOIN study_sample b ON a.finding_uid = b.finding_uid AND b.wave_id > a.wave_id GROUP BY a.finding_uid, a.wave_id) AS x GROUP BY before, after",
+    "a22_throughput": "SELECT tool, count(*) AS lists, round(count(*) FILTER (WHERE done) * 1.0 / count(*), 9) AS completed, round(count(*) FILTER (WHERE done AND hit) * 1.0 / nullif(count(*) FILTER (WHERE done), 0), 9) AS accuracy FROM (SELECT rkey, tool, bool_or(conf IS NOT NULL) AS done, bool_or(in_file) AS hit FROM @GEO GROUP BY rkey, tool) AS x GROUP BY tool",
+    "a25_auth_split": "SELECT coalesce(part, 'ALL') AS part, count(*) AS n FROM (SELECT CASE WHEN deficit >= 1 THEN 'unguarded' WHEN deficit >= 0 THEN 'partly' ELSE 'not applicable' END AS part FROM @F WHERE cls = 'auth') AS x GROUP BY ROLLUP (part)",
+    "a26_best_of_file": "SELECT slug, path, max(CASE ep WHEN 'ajax_nopriv' THEN 5.0 WHEN 'rest_api' THEN 4.0 WHEN 'shortcode' THEN 3.0 WHEN 'ajax_auth' THEN 2.5 WHEN 'admin' THEN 1.0 ELSE 0.5 END) AS weight FROM @F GROUP BY slug, path",
+    "a27_dependence": "SELECT count(*) AS keys, count(*) FILTER (WHERE sources = 1) AS single, round(avg(sources), 9) AS mean FROM (SELECT slug, path, line, cls, count(DISTINCT source) AS sources FROM @F WHERE cls IS NOT NULL GROUP BY slug, path, line, cls) AS x",
+    "k02_enumerated": "SELECT finding_id, row_number() OVER (PARTITION BY run_uid, tool ORDER BY rank NULLS FIRST, finding_id) AS n FROM @F",
+    "k07_severity": "SELECT finding_id, row_number() OVER (PARTITION BY rkey, tool ORDER BY CASE WHEN conf >= 0.7 THEN 3 WHEN conf >= 0.5 THEN 2 ELSE 1 END DESC, rank NULLS FIRST, finding_id) AS n FROM @F",
+    "k10_best_weight": "SELECT flow, hits FROM (SELECT flow, hits, row_number() OVER (ORDER BY hits DESC, flow DESC) AS n FROM (SELECT y.flow, count(DISTINCT CASE WHEN h.hit THEN y.rkey || y.tool END) AS hits FROM (SELECT k.finding_id, k.rkey, k.tool, w.flow, row_number() OVER (PARTITION BY w.flow, k.rkey, k.tool ORDER BY round(k.score + (w.flow - 1) * coalesce(k.conf, 0.6), 6) DESC, k.rank NULLS FIRST, k.finding_id) AS n FROM @RK k JOIN (SELECT 0 AS flow UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 4) AS w ON true) AS y JOIN (SELECT finding_id, bool_or(in_file) AS hit FROM @GEO GROUP BY finding_id) AS h ON h.finding_id = y.finding_id WHERE y.n = 1 GROUP BY y.flow) AS z) AS x WHERE n = 1",
+    "k11_tier_sweep": "SELECT w, count(*) FILTER (WHERE tier = 3) AS strong_first FROM (SELECT w.w, t.tier, row_number() OVER (PARTITION BY w.w, t.rkey, t.tool ORDER BY round(t.score + w.w * t.tier, 6) DESC, t.rank NULLS FIRST, t.finding_id) AS n FROM (SELECT *, CASE WHEN cls IN ('csrf', 'auth') OR coalesce(conf, 0.6) <= 0.45 THEN 1 WHEN lower(sink) LIKE '%wpdb%' THEN 3 ELSE 2 END AS tier FROM @RK) AS t JOIN (SELECT 0 AS w UNION ALL SELECT 1 UNION ALL SELECT 2) AS w ON true) AS x WHERE n = 1 GROUP BY w",
+    "x07_class_score": "SELECT k.tool, k.cls, count(DISTINCT k.rkey) AS records, count(DISTINCT CASE WHEN g.in_file AND k.rk <= 10 THEN k.rkey END) AS file_10, count(DISTINCT CASE WHEN g.distance <= 5 AND k.rk <= 10 THEN k.rkey END) AS near_10 FROM @RK k JOIN @GEO g ON g.finding_id = k.finding_id WHERE k.cls IS NOT NULL GROUP BY k.tool, k.cls",
+    "t18_cohorts": "SELECT early, count(*) AS records, round(avg(hit), 9) AS rate FROM (SELECT rkey, cve < 'CVE-2034' AS early, max(CASE WHEN in_file THEN 1.0 ELSE 0.0 END) AS hit FROM @GEO WHERE cve IS NOT NULL GROUP BY rkey, cve < 'CVE-2034') AS x GROUP BY early",
+    "t21_orders": "SELECT tool, rate, rank() OVER (ORDER BY rate DESC) AS place FROM (SELECT tool, round(avg(CASE WHEN in_file THEN 1.0 ELSE 0.0 END), 9) AS rate FROM @GEO GROUP BY tool) AS x",
+    "t22_line_arms": "SELECT arm, tool, count(*) AS n, count(*) FILTER (WHERE distance = 0) AS exact FROM @GEO JOIN (SELECT 'all' AS arm UNION ALL SELECT 'anchored' UNION ALL SELECT 'in file') AS a ON arm = 'all' OR arm = 'anchored' AND distance IS NOT NULL OR arm = 'in file' AND in_file GROUP BY arm, tool",
+    "t25_completed_pairs": "SELECT count(*) AS records, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b FROM (SELECT rkey, max(CASE WHEN tool = 'wisp' AND in_file THEN 1 ELSE 0 END) AS a, max(CASE WHEN tool = 'wpt' AND in_file THEN 1 ELSE 0 END) AS b FROM @GEO GROUP BY rkey HAVING count(DISTINCT CASE WHEN tool IN ('wisp', 'wpt') AND conf IS NOT NULL THEN tool END) = 2) AS x",
+    "q01_host_failures": "SELECT count(*) AS releases, CAST(sum(zip_errors) AS BIGINT) AS errors, coalesce(sum(zip_errors) * 1.0 / sum(zips), 0.0) > 0.01 AS refused FROM parser_coverage",
+    "q04_distinct_reasons": "SELECT tool, count(DISTINCT message) AS reasons, count(*) AS n, round(count(DISTINCT message) * 1.0 / count(*), 9) AS ratio FROM @F GROUP BY tool",
+    "q07_reconciled": "SELECT slug, path, line, CASE WHEN a = b THEN a ELSE c END AS cls FROM (SELECT slug, path, line, min(CASE WHEN tool = 'wisp' THEN cls END) AS a, min(CASE WHEN tool = 'wpt' THEN cls END) AS b, min(CASE WHEN tool = 'semgrep' THEN cls END) AS c FROM @F GROUP BY slug, path, line) AS x WHERE a IS NOT NULL OR b IS NOT NULL OR c IS NOT NULL",
+    "q08_totals": "SELECT (SELECT count(*) FROM @F) = (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT tool, count(*) AS n FROM @F GROUP BY tool) AS x) AS closed",
+    "q10_stamp": "SELECT run_uid, tool, count(*) AS findings, min(scanned_at) AS first_scan, max(scanned_at) AS last_scan FROM @F GROUP BY run_uid, tool",
+    "q13_same_records": "SELECT a.tool AS a, b.tool AS b, count(*) AS shared FROM (SELECT DISTINCT tool, rkey FROM @F) AS a JOIN (SELECT DISTINCT tool, rkey FROM @F) AS b ON a.rkey = b.rkey AND a.tool < b.tool GROUP BY a.tool, b.tool",
 }
 
 
