@@ -50,7 +50,11 @@ def stable_sample(df: DataFrame, uid: str, rate: float, seed: int = 42, earlier:
         out = out.withColumn("by_earlier", F.lit(False))
     else:
         old = slots(earlier.select(F.col(uid)), uid).groupBy("slot_high", "slot_low").agg(F.lit(True).alias("by_earlier"))
-        out = out.join(old, ["slot_high", "slot_low"], "left").withColumn("by_earlier", F.coalesce("by_earlier", F.lit(False)))
+        old = old.select(F.col("slot_high").alias("__h"), F.col("slot_low").alias("__l"), "by_earlier")
+        # null-safe, though no slot is null: a plain equality would infer "is not null" filters and push them below
+        # the rounds, where each unfolds into the whole permutation and is computed again
+        same = F.col("slot_high").eqNullSafe(F.col("__h")) & F.col("slot_low").eqNullSafe(F.col("__l"))
+        out = out.join(old, same, "left").drop("__h", "__l").withColumn("by_earlier", F.coalesce("by_earlier", F.lit(False)))
     return out.withColumn("selected", F.col("by_rate") | F.col("by_earlier"))
 
 
