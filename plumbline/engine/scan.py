@@ -15,7 +15,7 @@ COLUMNS = [c.split()[0] for c in FINDING.split(", ")]
 
 
 def _analysed(pdf: pd.DataFrame, cap: int, guards: bool) -> tuple[list[dict], dict]:
-    files = [(p, t) for p, t in zip(pdf["path"], pdf["content"]) if t is not None and p is not None]
+    files = sorted({p: t for p, t in sorted(zip(pdf["path"], pdf["content"]), key=str) if t is not None and p is not None}.items())  # a path counts once
     try:
         plugin = Plugin(files, cap, guards)
         return plugin.findings, {**plugin.status, "findings": len(plugin.findings), "failed": None}
@@ -23,6 +23,13 @@ def _analysed(pdf: pd.DataFrame, cap: int, guards: bool) -> tuple[list[dict], di
         return [], {"converged": False, "updates": 0, "rounds": 0, "capped": 0, "errors": 0, "findings": 0, "failed": type(e).__name__}
 
 
+def _spread(files: DataFrame, key: str) -> DataFrame:
+    """Releases over a fixed number of tasks: the work of a release isn't told by its bytes, so small partitions must not be joined."""
+    spark = files.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.select(key, "path", "content").repartition(n, key).groupBy(key)
+
+
 def scan(files: DataFrame, key: str = "record_id", cap: int = 32, guards: bool = True) -> DataFrame:
     """Findings of each release, from rows (key, path, content).
 
@@ -35,7 +42,7 @@ def scan(files: DataFrame, key: str = "record_id", cap: int = 32, guards: bool =
         out.insert(0, key, keys[0])
         return out.astype({"line": "int32", "sink_line": "int32", "seq": "int32"})
 
-    return files.select(key, "path", "content").groupBy(key).applyInPandas(run, f"{key} {dict(files.dtypes)[key]}, {FINDING}")
+    return _spread(files, key).applyInPandas(run, f"{key} {dict(files.dtypes)[key]}, {FINDING}")
 
 
 def status(files: DataFrame, key: str = "record_id", cap: int = 32, guards: bool = True) -> DataFrame:
@@ -44,7 +51,7 @@ def status(files: DataFrame, key: str = "record_id", cap: int = 32, guards: bool
         _, told = _analysed(pdf, cap, guards)
         return pd.DataFrame([{key: keys[0], **told}])
 
-    return files.select(key, "path", "content").groupBy(key).applyInPandas(run, f"{key} {dict(files.dtypes)[key]}, {STATUS}")
+    return _spread(files, key).applyInPandas(run, f"{key} {dict(files.dtypes)[key]}, {STATUS}")
 
 
 def ranked(found: DataFrame, key: str = "record_id", flow: float = 1.0, guard: float = 0.5, center: float = 0.0) -> DataFrame:

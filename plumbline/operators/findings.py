@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.keys import label_key, path_key, slug_key
+from plumbline.operators.rank import even_rank
 from plumbline.sources.tables import table
 
 #: Weight of an entry point in the ranking of findings.
@@ -66,7 +67,13 @@ def exploitability(flow: float = 1.0, guard: float = 0.5, center: float = 0.0) -
     return keyed(ENTRY_WEIGHT, "ep", 0.5) + F.when(F.coalesce("inter", F.lit(False)), 1.0).otherwise(0.0) + F.lit(flow) * F.coalesce("conf", F.lit(0.6)) + F.coalesce(term, F.lit(0.0))
 
 
-def ranked(rows: DataFrame, score: F.Column | None = None) -> DataFrame:
-    """``rows`` with ``score`` and ``rk``, the 1-based rank inside (record, tool); ties keep the tool's own order, then the id."""
+def ranked(rows: DataFrame, score: F.Column | None = None, even: bool = False) -> DataFrame:
+    """``rows`` with ``score`` and ``rk``, the 1-based rank inside (record, tool); ties keep the tool's own order, then the id.
+
+    The plain form is a window, which the optimiser prunes where only first ranks are asked for; ``even`` spreads
+    hot groups over the tasks and is for full rankings.
+    """
     scored = rows.withColumn("score", F.round(exploitability() if score is None else score, 9))
+    if even:
+        return even_rank(scored, ["rkey", "tool"], [F.desc("score"), F.col("rank"), F.col("finding_id")], "rk")
     return scored.withColumn("rk", F.row_number().over(Window.partitionBy("rkey", "tool").orderBy(F.desc("score"), "rank", "finding_id")))

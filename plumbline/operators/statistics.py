@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.rank import even_rank
+
 
 def draw(*parts: Column) -> Column:
     """A pseudo-random number of 0 to 2^60 - 1 from the parts, the same in any engine: the first 15 digits of their MD5."""
@@ -19,7 +21,7 @@ def clusters(rows: DataFrame, cluster: str, measures: dict[str, Column]) -> Data
     Resampling works on this table of clusters, never on rows: what follows grows with clusters x replicates.
     """
     sums = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).cast("double").alias(k) for k, c in measures.items()])
-    return sums.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)
+    return even_rank(sums, [], [F.col(cluster)], "i").withColumn("i", F.col("i") - 1)
 
 
 def resampled(table: DataFrame, measures: Sequence[str], replicates: int, seed: int) -> DataFrame:

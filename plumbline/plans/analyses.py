@@ -10,6 +10,7 @@ from plumbline.functions.keys import slug_key
 from plumbline.operators import findings as base
 from plumbline.operators import graphs, statistics
 from plumbline.operators.geometry import geometry, violations
+from plumbline.operators.rank import even_rank, mid_ranks
 from plumbline.plans.base_sql import BASE, ORDER, SLUG
 from plumbline.sources.tables import table
 
@@ -205,6 +206,27 @@ def set_allocation(spark, folder):
 _EDGES = "SELECT DISTINCT lower(slug) AS child, lower(renamed_from) AS parent FROM plugins WHERE renamed_from IS NOT NULL AND lower(slug) <> lower(renamed_from)"
 
 
+@query(with_bases("SELECT finding_id, rkey, tool, score, rk FROM RK", "F", "RK"))
+def k01_ranked(spark, folder):
+    """Every finding's place in its record's and tool's ranking."""
+    return base.ranked(base.findings(spark, folder), even=True).select("finding_id", "rkey", "tool", "score", "rk")
+
+
+@query(with_bases("SELECT finding_id, rank() OVER (PARTITION BY tool ORDER BY conf) + (count(*) OVER (PARTITION BY tool, conf) - 1) / 2.0 AS mid_rank FROM F WHERE conf IS NOT NULL", "F"))
+def k16_mid_ranks(spark, folder):
+    rows = base.findings(spark, folder).where("conf IS NOT NULL").select("finding_id", "tool", "conf")
+    return mid_ranks(rows, ["tool"], "conf", "mid_rank").select("finding_id", "mid_rank")
+
+
+@query(with_bases("SELECT tool, max(CASE WHEN i = CAST(floor(0.9 * n) AS BIGINT) + 1 THEN line END) AS q90 FROM (SELECT tool, line, row_number() OVER (PARTITION BY tool ORDER BY line, finding_id) AS i, count(*) OVER (PARTITION BY tool) AS n FROM F WHERE line IS NOT NULL) AS x GROUP BY tool", "F"))
+def k18_index_quantile(spark, folder):
+    """The line at index floor(0.9 n) of each tool's sorted lines."""
+    rows = base.findings(spark, folder).where("line IS NOT NULL").select("finding_id", "tool", "line")
+    placed = even_rank(rows, ["tool"], [F.col("line"), F.col("finding_id")], "i")
+    sizes = rows.groupBy("tool").agg((F.floor(0.9 * F.count(F.lit(1))) + 1).alias("at"))
+    return placed.join(sizes, "tool").groupBy("tool").agg(F.max(F.when(F.col("i") == F.col("at"), F.col("line"))).alias("q90"))
+
+
 @query(f"""WITH RECURSIVE e AS ({_EDGES}), w(node, ancestor, depth) AS (SELECT child, parent, 1 FROM e UNION SELECT w.node, e.parent, w.depth + 1 FROM w JOIN e ON w.ancestor = e.child WHERE w.depth < 64)
  SELECT node, ancestor, min(depth) AS depth FROM w WHERE node <> ancestor GROUP BY node, ancestor""")
 def r01_closure(spark, folder):

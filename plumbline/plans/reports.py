@@ -73,7 +73,6 @@ REPORTS: dict[str, str] = {
     "a29_ceiling": "SELECT cls, count(*) AS records, count(*) FILTER (WHERE hit) AS reachable FROM (SELECT rkey, cls, bool_or(in_file) AS hit FROM @GEO WHERE cls IS NOT NULL GROUP BY rkey, cls) AS x GROUP BY cls",
     "a30_predicates": "SELECT count(*) FILTER (WHERE in_hunk AND coalesce(distance, 99) > 0) AS hunk_not_exact, count(*) FILTER (WHERE coalesce(distance, 99) = 0 AND NOT in_hunk) AS exact_not_hunk, count(*) FILTER (WHERE in_hunk AND NOT in_file) AS hunk_not_file FROM @GEO",
     # rankings
-    "k01_ranked": "SELECT finding_id, rkey, tool, score, rk FROM @RK",
     "k03_top_k": "SELECT k.tool, n.k, count(DISTINCT k.rkey) AS records, count(DISTINCT CASE WHEN g.in_file AND k.rk <= n.k THEN k.rkey END) AS hits FROM @RK k JOIN @GEO g ON g.finding_id = k.finding_id JOIN (SELECT 1 AS k UNION ALL SELECT 3 UNION ALL SELECT 5 UNION ALL SELECT 10) AS n ON true GROUP BY k.tool, n.k",
     "k04_precision_at_k": "SELECT tool, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(m) AS BIGINT) AS shown, round(sum(tp) * 1.0 / sum(m), 9) AS precision_5 FROM (SELECT k.tool, k.rkey, count(DISTINCT CASE WHEN g.in_file THEN k.finding_id END) AS tp, least(5, count(DISTINCT k.finding_id)) AS m FROM @RK k JOIN @GEO g ON g.finding_id = k.finding_id WHERE k.rk <= 5 GROUP BY k.tool, k.rkey) AS x GROUP BY tool",
     "k05_first_hits": "SELECT k.rkey, k.tool, min(CASE WHEN g.in_file THEN k.rk END) AS first_file, min(CASE WHEN g.distance <= 5 THEN k.rk END) AS first_near, min(CASE WHEN g.in_hunk THEN k.rk END) AS first_hunk FROM @RK k JOIN @GEO g ON g.finding_id = k.finding_id GROUP BY k.rkey, k.tool",
@@ -82,9 +81,7 @@ REPORTS: dict[str, str] = {
     "k12_random_order": "SELECT seed, count(DISTINCT CASE WHEN hit AND n <= 3 THEN rkey END) AS hits FROM (SELECT s.seed, f.rkey, h.hit, row_number() OVER (PARTITION BY s.seed, f.rkey, f.tool ORDER BY md5(s.seed || '|' || f.finding_uid)) AS n FROM @F f JOIN (SELECT finding_id, bool_or(in_file) AS hit FROM @GEO GROUP BY finding_id) AS h ON h.finding_id = f.finding_id JOIN (SELECT '1' AS seed UNION ALL SELECT '2' UNION ALL SELECT '3') AS s ON true) AS x GROUP BY seed",
     "k13_top_sinks": "SELECT cls, sink, n FROM (SELECT cls, sink, n, row_number() OVER (PARTITION BY cls ORDER BY n DESC, sink) AS i FROM (SELECT cls, sink, count(*) AS n FROM @F WHERE cls IS NOT NULL AND sink IS NOT NULL GROUP BY cls, sink) AS y) AS x WHERE i <= 3",
     "k14_occurrence": "SELECT finding_id, row_number() OVER (PARTITION BY rkey, tool, path, line, cls ORDER BY finding_id) - 1 AS occurrence FROM @F",
-    "k16_mid_ranks": "SELECT finding_id, rank() OVER (PARTITION BY tool ORDER BY conf) + (count(*) OVER (PARTITION BY tool, conf) - 1) / 2.0 AS mid_rank FROM @F WHERE conf IS NOT NULL",
     "k17_runs": "SELECT tool, count(*) FILTER (WHERE before IS NULL OR before <> cls) AS runs, count(*) AS n FROM (SELECT tool, cls, lag(cls) OVER (PARTITION BY tool ORDER BY finding_id) AS before FROM @F WHERE cls IS NOT NULL) AS x GROUP BY tool",
-    "k18_index_quantile": "SELECT tool, max(CASE WHEN i = CAST(floor(0.9 * n) AS BIGINT) + 1 THEN line END) AS q90 FROM (SELECT tool, line, row_number() OVER (PARTITION BY tool ORDER BY line, finding_id) AS i, count(*) OVER (PARTITION BY tool) AS n FROM @F WHERE line IS NOT NULL) AS x GROUP BY tool",
     # sets
     "set_union": "SELECT DISTINCT sink AS name FROM @F WHERE tool = 'wisp' AND sink IS NOT NULL UNION SELECT DISTINCT sink FROM @F WHERE tool = 'wpt' AND sink IS NOT NULL",
     "set_intersection": "SELECT rkey FROM @F WHERE tool = 'wisp' INTERSECT SELECT rkey FROM @F WHERE tool = 'semgrep'",

@@ -18,7 +18,7 @@ def query(f):
 def _files(spark, folder):
     """Files with a PHP ending, one row for each release and path."""
     rows = table(spark, folder, "source_files", "record_id", "path", "content")
-    return rows.where(F.lower("path").rlike(r"\.(php|inc|phtml)$")).dropDuplicates(["record_id", "path"])
+    return rows.where(F.lower("path").rlike(r"\.(php|inc|phtml)$"))
 
 
 @query

@@ -30,6 +30,22 @@ def test_spread_rank_numbers_each_group(spark):
     assert rank.spread_rank(df.limit(0), ["g"], F.xxhash64("id"), "n").count() == 0
 
 
+def test_even_rank_and_mid_ranks(spark):
+    r = random.Random(4)
+    rows = [(r.choice("aaab") if r.random() < 0.9 else None, r.randrange(20) or None, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, v int, id long")
+    got = {x.id: x.n for x in rank.even_rank(df, ["g"], [F.col("v").desc(), F.col("id")], "n", parts=7).collect()}
+    for g in ("a", "b", None):
+        ordered = sorted((x for x in rows if x[0] == g), key=lambda x: (-(x[1] or -1), x[2]))
+        assert [got[x[2]] for x in ordered] == list(range(1, len(ordered) + 1))
+    mids = {x.id: x.m for x in rank.mid_ranks(df, ["g"], "v", "m").collect()}
+    for g, v, i in rows:
+        same = sorted((x[1] or -1) for x in rows if x[0] == g)
+        at = [k + 1 for k, x in enumerate(same) if x == (v or -1)]
+        assert mids[i] == sum(at) / len(at)
+    assert rank.even_rank(df.limit(0), [], [F.col("id")], "n").count() == 0
+
+
 def test_salted_lookup(spark):
     left = spark.range(100).select(F.when(F.col("id") < 90, "hot").when(F.col("id") < 95, "cold").alias("k"), "id")
     right = spark.createDataFrame([("hot", 1), ("cold", 2), ("none", 3)], "k string, v int")
