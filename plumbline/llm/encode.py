@@ -124,7 +124,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = VOCABULARY, out: str
     missing = stored(missing, "missing-words")
     found = salted_lookup(missing, dictionary(missing, path), "word", F.col("__k"), 8, "inner")
     maps = found.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("__more"))
-    both = salted_lookup(keyed, maps, "__k", F.xxhash64(*[c for c in docs.columns if c != text][:1] or [F.lit(0)]), 4)
+    both = salted_lookup(keyed, maps, "__k", F.xxhash64(*[c for c in docs.columns if c != text][:1] or [F.lit(0)]), 2)
     ids = F.flatten(F.transform(words_of(F.col(text)), lambda w: _bind(rank_of(hex_of(w), ranks), lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(F.col("__more")[w]))))
     return both.withColumn(out, ids).drop("__k", "__more")
 
