@@ -25,7 +25,7 @@ def _geo(spark: SparkSession, folder: str) -> DataFrame:
 def _hits(spark: SparkSession, folder: str) -> DataFrame:
     """Each record with the number of tools' hits: a for the first tool, b for the second; a missing tool counts 0."""
     hit = lambda tool: F.max(F.when((F.col("tool") == tool) & F.col("in_file"), 1).otherwise(0))
-    return _geo(spark, folder).groupBy("slug", "rkey").agg(hit("wisp").alias("a"), hit("wpt").alias("b"))
+    return _geo(spark, folder).groupBy("slug", "rkey").agg(hit("wpt").alias("a"), hit("progpilot").alias("b"))
 
 
 def with_bases(sql: str, *names: str) -> str:
@@ -33,7 +33,7 @@ def with_bases(sql: str, *names: str) -> str:
 
 
 GEO = ("F", "G", "CL", "BD", "HK", "GEO")
-HITS = "SELECT slug, rkey, max(CASE WHEN tool = 'wisp' AND in_file THEN 1 ELSE 0 END) AS a, max(CASE WHEN tool = 'wpt' AND in_file THEN 1 ELSE 0 END) AS b FROM GEO GROUP BY slug, rkey"
+HITS = "SELECT slug, rkey, max(CASE WHEN tool = 'wpt' AND in_file THEN 1 ELSE 0 END) AS a, max(CASE WHEN tool = 'progpilot' AND in_file THEN 1 ELSE 0 END) AS b FROM GEO GROUP BY slug, rkey"
 SQL: dict[str, str] = {}
 QUERIES: dict = {}
 

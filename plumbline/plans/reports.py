@@ -44,13 +44,13 @@ REPORTS: dict[str, str] = {
     "j16_hunks": "SELECT g.finding_id, g.gid, h.h_start, h.h_end, h.h_kind FROM @GEO g JOIN @HK h ON h.gid = g.gid AND g.line BETWEEN h.h_start AND h.h_end",
     "j17_deficits": "SELECT f.finding_id, CASE WHEN f.cls IN ('csrf', 'auth') AND f.source = 'request' THEN coalesce(d.d, 1.0) ELSE -1.0 END AS deficit FROM @F f LEFT JOIN (SELECT slug, path, line, cls, max(deficit) AS d FROM @F WHERE deficit >= 0 GROUP BY slug, path, line, cls) AS d ON f.slug = d.slug AND f.path = d.path AND f.line = d.line AND f.cls = d.cls",
     "j18_file_entry": "SELECT slug, path, min(CASE ep WHEN 'ajax_nopriv' THEN 1 WHEN 'ajax_auth' THEN 2 WHEN 'rest_api' THEN 3 WHEN 'shortcode' THEN 4 WHEN 'admin' THEN 5 ELSE 9 END) AS priority FROM @F GROUP BY slug, path",
-    "j20_common_records": "SELECT a.rkey FROM (SELECT DISTINCT rkey FROM @F WHERE tool = 'wisp') AS a JOIN (SELECT DISTINCT rkey FROM @F WHERE tool = 'wpt') AS b ON a.rkey = b.rkey",
+    "j20_common_records": "SELECT a.rkey FROM (SELECT DISTINCT rkey FROM @F WHERE tool = 'wpt') AS a JOIN (SELECT DISTINCT rkey FROM @F WHERE tool = 'progpilot') AS b ON a.rkey = b.rkey",
     "j21_full_denominator": "SELECT r.rkey, t.tool, coalesce(h.hit, 0) AS hit FROM (SELECT DISTINCT rkey FROM @F) AS r JOIN (SELECT DISTINCT tool FROM @F) AS t ON true LEFT JOIN (SELECT rkey, tool, max(CASE WHEN in_file THEN 1 ELSE 0 END) AS hit FROM @GEO GROUP BY rkey, tool) AS h ON h.rkey = r.rkey AND h.tool = t.tool",
     "j22_all_tools": "SELECT rkey FROM @F GROUP BY rkey HAVING count(DISTINCT tool) = (SELECT count(DISTINCT tool) FROM @F)",
     "j23_manifest": "SELECT p.record_id, p.slug, c.total_php_files, c.record_id IS NOT NULL AS listed FROM (SELECT DISTINCT record_id, slug FROM plugins) AS p LEFT JOIN (SELECT record_id, max(total_php_files) AS total_php_files FROM parser_coverage GROUP BY record_id) AS c ON p.record_id = c.record_id",
     "j23_extra": "SELECT DISTINCT c.record_id FROM parser_coverage c WHERE NOT EXISTS (SELECT 1 FROM plugins p WHERE p.record_id = c.record_id)",
-    "j24_before_after": "SELECT coalesce(a.rkey, b.rkey) AS rkey, a.n AS before, b.n AS after, CASE WHEN a.n IS NULL THEN 'gained' WHEN b.n IS NULL THEN 'lost' WHEN b.n > a.n THEN 'more' WHEN b.n < a.n THEN 'fewer' ELSE 'same' END AS change FROM (SELECT rkey, count(*) AS n FROM @F WHERE tool = 'wisp' GROUP BY rkey) AS a FULL OUTER JOIN (SELECT rkey, count(*) AS n FROM @F WHERE tool = 'wpt' GROUP BY rkey) AS b ON a.rkey = b.rkey",
-    "j25_multiset": "SELECT path, line, cls, sink FROM @F WHERE tool = 'wisp' EXCEPT ALL SELECT path, line, cls, sink FROM @F WHERE tool = 'wpt'",
+    "j24_before_after": "SELECT coalesce(a.rkey, b.rkey) AS rkey, a.n AS before, b.n AS after, CASE WHEN a.n IS NULL THEN 'gained' WHEN b.n IS NULL THEN 'lost' WHEN b.n > a.n THEN 'more' WHEN b.n < a.n THEN 'fewer' ELSE 'same' END AS change FROM (SELECT rkey, count(*) AS n FROM @F WHERE tool = 'wpt' GROUP BY rkey) AS a FULL OUTER JOIN (SELECT rkey, count(*) AS n FROM @F WHERE tool = 'progpilot' GROUP BY rkey) AS b ON a.rkey = b.rkey",
+    "j25_multiset": "SELECT path, line, cls, sink FROM @F WHERE tool = 'wpt' EXCEPT ALL SELECT path, line, cls, sink FROM @F WHERE tool = 'progpilot'",
     # aggregations
     "a01_keep_best": "SELECT slug, path, line, cls, sink, finding_id, conf FROM (SELECT *, row_number() OVER (PARTITION BY slug, path, line, cls, sink ORDER BY coalesce(conf, -1.0) DESC, finding_id) AS n FROM @F) AS x WHERE n = 1",
     "a02_cap_one": "SELECT slug, path, finding_id FROM (SELECT slug, path, finding_id, row_number() OVER (PARTITION BY slug, path ORDER BY rank NULLS FIRST, finding_id) AS n FROM @F WHERE cls = 'deserial') AS x WHERE n = 1",
@@ -60,7 +60,7 @@ REPORTS: dict[str, str] = {
     "a06_precision": "SELECT tool, round(count(*) FILTER (WHERE in_file) * 1.0 / count(*), 9) AS file_precision, round(count(*) FILTER (WHERE distance <= 5) * 1.0 / count(*), 9) AS line_precision, count(DISTINCT CASE WHEN in_file THEN gid END) AS files_found FROM @GEO GROUP BY tool",
     "a08_micro_macro": "SELECT round(sum(h) * 1.0 / count(*), 9) AS micro, round((SELECT avg(m) FROM (SELECT slug, avg(h) AS m FROM (SELECT slug, rkey, max(CASE WHEN in_file THEN 1.0 ELSE 0.0 END) AS h FROM @GEO GROUP BY slug, rkey) AS a GROUP BY slug) AS b), 9) AS macro FROM (SELECT slug, rkey, max(CASE WHEN in_file THEN 1.0 ELSE 0.0 END) AS h FROM @GEO GROUP BY slug, rkey) AS x",
     "a09_class_macro": "SELECT round(avg(coalesce(r, 0.0)), 9) AS absent_as_zero, round(avg(r), 9) AS absent_skipped FROM (SELECT DISTINCT vuln_class FROM class_aliases) AS c LEFT JOIN (SELECT cls, avg(CASE WHEN in_file THEN 1.0 ELSE 0.0 END) AS r FROM @GEO GROUP BY cls) AS g ON c.vuln_class = g.cls",
-    "a10_confusion": "SELECT a.cls AS a, b.cls AS b, count(*) AS n FROM @F a JOIN @F b ON a.slug = b.slug AND a.path = b.path AND a.line = b.line WHERE a.tool = 'wisp' AND b.tool = 'wpt' AND a.cls IS NOT NULL AND b.cls IS NOT NULL GROUP BY a.cls, b.cls",
+    "a10_confusion": "SELECT a.cls AS a, b.cls AS b, count(*) AS n FROM @F a JOIN @F b ON a.slug = b.slug AND a.path = b.path AND a.line = b.line WHERE a.tool = 'wpt' AND b.tool = 'progpilot' AND a.cls IS NOT NULL AND b.cls IS NOT NULL GROUP BY a.cls, b.cls",
     "a12_histogram": "SELECT n, count(*) AS plugins FROM (SELECT slug, count(DISTINCT rkey) AS n FROM @F GROUP BY slug) AS x GROUP BY n",
     "a14_accounting": "SELECT total, with_class + without_class = total AS closed FROM (SELECT count(*) AS total, count(*) FILTER (WHERE cls IS NOT NULL) AS with_class, count(*) FILTER (WHERE cls IS NULL) AS without_class FROM @F) AS x",
     "a17_patch_shapes": "SELECT shape, count(*) AS files FROM (SELECT CASE WHEN status <> 'modified' THEN status WHEN changed = 0 THEN 'insert-only' WHEN changed <= 5 THEN 'small' ELSE 'large' END AS shape FROM (SELECT g.gid, g.status, count(c.line) AS changed FROM @G g LEFT JOIN @CL c ON c.gid = g.gid GROUP BY g.gid, g.status) AS y) AS x GROUP BY shape",
@@ -83,9 +83,9 @@ REPORTS: dict[str, str] = {
     "k14_occurrence": "SELECT finding_id, row_number() OVER (PARTITION BY rkey, tool, path, line, cls ORDER BY finding_id) - 1 AS occurrence FROM @F",
     "k17_runs": "SELECT tool, count(*) FILTER (WHERE before IS NULL OR before <> cls) AS runs, count(*) AS n FROM (SELECT tool, cls, lag(cls) OVER (PARTITION BY tool ORDER BY finding_id) AS before FROM @F WHERE cls IS NOT NULL) AS x GROUP BY tool",
     # sets
-    "set_union": "SELECT DISTINCT sink AS name FROM @F WHERE tool = 'wisp' AND sink IS NOT NULL UNION SELECT DISTINCT sink FROM @F WHERE tool = 'wpt' AND sink IS NOT NULL",
-    "set_intersection": "SELECT rkey FROM @F WHERE tool = 'wisp' INTERSECT SELECT rkey FROM @F WHERE tool = 'semgrep'",
-    "set_difference": "SELECT rkey FROM @F WHERE tool = 'wisp' EXCEPT SELECT rkey FROM @F WHERE tool = 'semgrep'",
+    "set_union": "SELECT DISTINCT sink AS name FROM @F WHERE tool = 'wpt' AND sink IS NOT NULL UNION SELECT DISTINCT sink FROM @F WHERE tool = 'progpilot' AND sink IS NOT NULL",
+    "set_intersection": "SELECT rkey FROM @F WHERE tool = 'wpt' INTERSECT SELECT rkey FROM @F WHERE tool = 'semgrep'",
+    "set_difference": "SELECT rkey FROM @F WHERE tool = 'wpt' EXCEPT SELECT rkey FROM @F WHERE tool = 'semgrep'",
     "set_round_robin": "SELECT finding_id FROM (SELECT finding_id, i, cls, tool, row_number() OVER (ORDER BY i, cls, tool) AS n FROM (SELECT finding_id, cls, tool, row_number() OVER (PARTITION BY cls, tool ORDER BY md5('7|' || finding_uid)) AS i FROM @F WHERE cls IS NOT NULL) AS y) AS x WHERE n <= 200",
     # patches
     "x03_statuses": "SELECT slug, cve, count(*) FILTER (WHERE status = 'modified') AS modified, count(*) FILTER (WHERE status = 'deleted') AS deleted, count(*) FILTER (WHERE status = 'added') AS added FROM @G GROUP BY slug, cve",
@@ -95,20 +95,20 @@ REPORTS: dict[str, str] = {
     # statistics without resampling
     "t06_weighted_rate": "SELECT round(sum(m * p) / sum(m), 9) AS rate FROM (SELECT cls, tool, count(*) AS m, avg(CASE WHEN in_file THEN 1.0 ELSE 0.0 END) AS p FROM @GEO WHERE cls IS NOT NULL GROUP BY cls, tool) AS x",
     "t08_inverse_weights": "SELECT round(sum(CASE WHEN in_file THEN w ELSE 0.0 END) / sum(w), 9) AS rate FROM (SELECT in_file, 1.0 / count(*) OVER (PARTITION BY slug) AS w FROM @GEO) AS x",
-    "t13_kappa": "SELECT round((po - pe) / (1 - pe), 9) AS kappa, n FROM (SELECT n, agree * 1.0 / n AS po, (a1 * 1.0 / n) * (b1 * 1.0 / n) + (1 - a1 * 1.0 / n) * (1 - b1 * 1.0 / n) AS pe FROM (SELECT count(*) AS n, count(*) FILTER (WHERE a = b) AS agree, count(*) FILTER (WHERE a = 1) AS a1, count(*) FILTER (WHERE b = 1) AS b1 FROM (SELECT r.rkey, coalesce(max(CASE WHEN g.tool = 'wisp' AND g.in_file THEN 1 END), 0) AS a, coalesce(max(CASE WHEN g.tool = 'wpt' AND g.in_file THEN 1 END), 0) AS b FROM (SELECT DISTINCT rkey FROM @F) AS r JOIN @GEO g ON g.rkey = r.rkey GROUP BY r.rkey) AS z) AS y) AS x WHERE pe < 1",
-    "t14_pabak": "SELECT round((2 * (agree * 1.0 / n) - 1), 9) AS pabak FROM (SELECT count(*) AS n, count(*) FILTER (WHERE a = b) AS agree FROM (SELECT rkey, coalesce(max(CASE WHEN tool = 'wisp' AND in_file THEN 1 END), 0) AS a, coalesce(max(CASE WHEN tool = 'wpt' AND in_file THEN 1 END), 0) AS b FROM @GEO GROUP BY rkey) AS y) AS x",
+    "t13_kappa": "SELECT round((po - pe) / (1 - pe), 9) AS kappa, n FROM (SELECT n, agree * 1.0 / n AS po, (a1 * 1.0 / n) * (b1 * 1.0 / n) + (1 - a1 * 1.0 / n) * (1 - b1 * 1.0 / n) AS pe FROM (SELECT count(*) AS n, count(*) FILTER (WHERE a = b) AS agree, count(*) FILTER (WHERE a = 1) AS a1, count(*) FILTER (WHERE b = 1) AS b1 FROM (SELECT r.rkey, coalesce(max(CASE WHEN g.tool = 'wpt' AND g.in_file THEN 1 END), 0) AS a, coalesce(max(CASE WHEN g.tool = 'progpilot' AND g.in_file THEN 1 END), 0) AS b FROM (SELECT DISTINCT rkey FROM @F) AS r JOIN @GEO g ON g.rkey = r.rkey GROUP BY r.rkey) AS z) AS y) AS x WHERE pe < 1",
+    "t14_pabak": "SELECT round((2 * (agree * 1.0 / n) - 1), 9) AS pabak FROM (SELECT count(*) AS n, count(*) FILTER (WHERE a = b) AS agree FROM (SELECT rkey, coalesce(max(CASE WHEN tool = 'wpt' AND in_file THEN 1 END), 0) AS a, coalesce(max(CASE WHEN tool = 'progpilot' AND in_file THEN 1 END), 0) AS b FROM @GEO GROUP BY rkey) AS y) AS x",
     "t15_fleiss": "SELECT round((p - e) / (1 - e), 9) AS kappa FROM (SELECT avg((h * h + (5 - h) * (5 - h) - 5) / 20.0) AS p, pow(avg(h / 5.0), 2) + pow(1 - avg(h / 5.0), 2) AS e FROM (SELECT rkey, CAST(count(DISTINCT CASE WHEN in_file THEN tool END) AS DOUBLE) AS h FROM @GEO GROUP BY rkey) AS y) AS x",
     "t16_spearman": "SELECT tool, round(corr(ra, rb), 9) AS rho FROM (SELECT tool, rank() OVER (PARTITION BY tool ORDER BY conf) + (count(*) OVER (PARTITION BY tool, conf) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY tool ORDER BY line) + (count(*) OVER (PARTITION BY tool, line) - 1) / 2.0 AS rb FROM @F WHERE conf IS NOT NULL AND line IS NOT NULL) AS x GROUP BY tool",
     "t19_log_fit": "SELECT round(regr_slope(y, x), 7) AS slope, round(regr_intercept(y, x), 7) AS intercept, round(regr_r2(y, x), 7) AS r2, count(*) AS n FROM (SELECT ln(CAST(parsed_bytes AS DOUBLE)) AS y, ln(CAST(total_php_files AS DOUBLE)) AS x FROM parser_coverage WHERE parsed_bytes > 0 AND total_php_files > 0) AS z",
     "t23_transitions": "SELECT tool, round(count(*) FILTER (WHERE in_hunk) * 1.0 / nullif(count(*) FILTER (WHERE in_file), 0), 9) AS hunk_given_file, round(count(*) FILTER (WHERE distance <= 5) * 1.0 / nullif(count(*) FILTER (WHERE in_file), 0), 9) AS near_given_file FROM @GEO GROUP BY tool",
     "t24_brackets": "SELECT round(avg(CASE WHEN cls IS NOT NULL THEN CASE WHEN in_file THEN 1.0 ELSE 0.0 END END), 9) AS excluded, round(avg(CASE WHEN cls IS NOT NULL AND in_file THEN 1.0 ELSE 0.0 END), 9) AS failed, round(avg(CASE WHEN cls IS NULL OR in_file THEN 1.0 ELSE 0.0 END), 9) AS passed FROM @GEO",
     "t26_failure_arms": "SELECT arm, count(*) AS n, count(*) FILTER (WHERE CASE arm WHEN 'kept' THEN in_file WHEN 'miss' THEN in_file AND conf IS NOT NULL ELSE in_file AND conf IS NOT NULL END) AS hits FROM @GEO JOIN (SELECT 'kept' AS arm UNION ALL SELECT 'miss' UNION ALL SELECT 'excluded') AS a ON arm <> 'excluded' OR conf IS NOT NULL GROUP BY arm",
-    "t27_three_arms": "SELECT a, b, c, count(*) AS records FROM (SELECT rkey, max(CASE WHEN tool = 'wisp' AND in_file THEN 1 ELSE 0 END) AS a, max(CASE WHEN tool = 'wpt' AND in_file THEN 1 ELSE 0 END) AS b, max(CASE WHEN tool = 'semgrep' AND in_file THEN 1 ELSE 0 END) AS c FROM @GEO GROUP BY rkey) AS x GROUP BY a, b, c",
+    "t27_three_arms": "SELECT a, b, c, count(*) AS records FROM (SELECT rkey, max(CASE WHEN tool = 'wpt' AND in_file THEN 1 ELSE 0 END) AS a, max(CASE WHEN tool = 'progpilot' AND in_file THEN 1 ELSE 0 END) AS b, max(CASE WHEN tool = 'semgrep' AND in_file THEN 1 ELSE 0 END) AS c FROM @GEO GROUP BY rkey) AS x GROUP BY a, b, c",
     # assertions
     "q02_leaks": "SELECT doc_id FROM documents WHERE lower(text) LIKE '%semgrep%' OR lower(text) LIKE '%progpilot%'",
     "q03_orphans": "SELECT DISTINCT s.record_key FROM study_sample s WHERE NOT EXISTS (SELECT 1 FROM @F f WHERE f.rkey = s.record_key)",
     "q05_drift": "SELECT p.slug, p.files AS shipped, c.files AS counted FROM (SELECT record_id, max(slug) AS slug, max(total_php_files) AS files FROM parser_coverage GROUP BY record_id) AS p JOIN (SELECT record_id, count(*) AS files FROM source_files WHERE lower(path) LIKE '%.php' GROUP BY record_id) AS c ON p.record_id = c.record_id WHERE p.files IS DISTINCT FROM c.files",
-    "q06_disputed": "SELECT a.slug, a.path, a.line, min(a.cls) AS a, min(b.cls) AS b FROM @F a JOIN @F b ON a.slug = b.slug AND a.path = b.path AND a.line = b.line WHERE a.tool = 'wisp' AND b.tool = 'progpilot' AND a.cls <> b.cls GROUP BY a.slug, a.path, a.line",
+    "q06_disputed": "SELECT a.slug, a.path, a.line, min(a.cls) AS a, min(b.cls) AS b FROM @F a JOIN @F b ON a.slug = b.slug AND a.path = b.path AND a.line = b.line WHERE a.tool = 'wpt' AND b.tool = 'progpilot' AND a.cls <> b.cls GROUP BY a.slug, a.path, a.line",
     "q11_failure_policy": "SELECT record_id, CASE WHEN zip_errors > 0 THEN 'error' WHEN files_with_error > 0 THEN 'non_converged' END AS reason FROM parser_coverage",
     "q12_fingerprint": "SELECT count(*) AS n, count(DISTINCT rkey) AS records, md5(min(md5(finding_uid)) || max(md5(finding_uid))) AS mark FROM @F",
     # more joins, sums and checks
@@ -116,7 +116,7 @@ REPORTS: dict[str, str] = {
     "v01_vocabulary": "SELECT vuln_class, count(*) AS names, min(alias) AS first FROM class_aliases GROUP BY vuln_class",
     "v03_shadowed": "SELECT DISTINCT a.sink FROM @F a WHERE EXISTS (SELECT 1 FROM @F b WHERE b.slug = a.slug AND lower(b.fn) = lower(a.sink))",
     "v13_slices": "SELECT finding_id, CASE WHEN message LIKE '%esc\\_%' OR message LIKE '%sanitize\\_%' THEN 'guarded' WHEN source LIKE '$\\_%' THEN 'likely' ELSE 'unclear' END AS reachability FROM @F",
-    "a07_class_sets": "SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS missed, round(sum(tp) * 1.0 / nullif(sum(tp) + sum(fp), 0), 9) AS precision_proxy, round(sum(tp) * 1.0 / nullif(sum(tp) + sum(fn), 0), 9) AS recall FROM (SELECT coalesce(a.slug, b.slug) AS slug, count(*) FILTER (WHERE a.cls IS NOT NULL AND b.cls IS NOT NULL) AS tp, count(*) FILTER (WHERE b.cls IS NULL) AS fp, count(*) FILTER (WHERE a.cls IS NULL) AS fn FROM (SELECT DISTINCT slug, cls FROM @F WHERE tool = 'wisp' AND cls IS NOT NULL) AS a FULL OUTER JOIN (SELECT DISTINCT slug, cls FROM @F WHERE tool <> 'wisp' AND cls IS NOT NULL) AS b ON a.slug = b.slug AND a.cls = b.cls GROUP BY coalesce(a.slug, b.slug)) AS x",
+    "a07_class_sets": "SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS missed, round(sum(tp) * 1.0 / nullif(sum(tp) + sum(fp), 0), 9) AS precision_proxy, round(sum(tp) * 1.0 / nullif(sum(tp) + sum(fn), 0), 9) AS recall FROM (SELECT coalesce(a.slug, b.slug) AS slug, count(*) FILTER (WHERE a.cls IS NOT NULL AND b.cls IS NOT NULL) AS tp, count(*) FILTER (WHERE b.cls IS NULL) AS fp, count(*) FILTER (WHERE a.cls IS NULL) AS fn FROM (SELECT DISTINCT slug, cls FROM @F WHERE tool = 'wpt' AND cls IS NOT NULL) AS a FULL OUTER JOIN (SELECT DISTINCT slug, cls FROM @F WHERE tool <> 'wpt' AND cls IS NOT NULL) AS b ON a.slug = b.slug AND a.cls = b.cls GROUP BY coalesce(a.slug, b.slug)) AS x",
     "a11_rates": "SELECT coalesce(ep, 'ALL') AS ep, count(*) FILTER (WHERE in_file AND inter) AS tp, count(*) FILTER (WHERE NOT in_file AND NOT inter) AS tn, count(*) FILTER (WHERE in_file AND NOT inter) AS missed, count(*) FILTER (WHERE NOT in_file AND inter) AS fp FROM @GEO WHERE inter IS NOT NULL AND ep IS NOT NULL GROUP BY ROLLUP (ep)",
     "a13_failures": "SELECT CASE WHEN zip_errors > 0 THEN 'archive' WHEN files_with_error > 0 THEN 'syntax' WHEN skipped_no_open_tag > 0 THEN 'no tag' ELSE 'none' END AS cause, count(*) AS releases, CAST(sum(total_php_files) AS BIGINT) AS files FROM parser_coverage GROUP BY 1",
     "a15_census": "SELECT count(*) AS releases, count(*) FILTER (WHERE files_with_error = 0) AS clean, count(*) FILTER (WHERE files_with_error IS NULL) AS unknown, round(count(*) FILTER (WHERE files_with_error = 0) * 1.0 / count(files_with_error), 9) AS rate_of_known FROM parser_coverage",
@@ -133,10 +133,10 @@ REPORTS: dict[str, str] = {
     "t18_cohorts": "SELECT early, count(*) AS records, round(avg(hit), 9) AS rate FROM (SELECT rkey, cve < 'CVE-2034' AS early, max(CASE WHEN in_file THEN 1.0 ELSE 0.0 END) AS hit FROM @GEO WHERE cve IS NOT NULL GROUP BY rkey, cve < 'CVE-2034') AS x GROUP BY early",
     "t21_orders": "SELECT tool, rate, rank() OVER (ORDER BY rate DESC) AS place FROM (SELECT tool, round(avg(CASE WHEN in_file THEN 1.0 ELSE 0.0 END), 9) AS rate FROM @GEO GROUP BY tool) AS x",
     "t22_line_arms": "SELECT arm, tool, count(*) AS n, count(*) FILTER (WHERE distance = 0) AS exact FROM @GEO JOIN (SELECT 'all' AS arm UNION ALL SELECT 'anchored' UNION ALL SELECT 'in file') AS a ON arm = 'all' OR arm = 'anchored' AND distance IS NOT NULL OR arm = 'in file' AND in_file GROUP BY arm, tool",
-    "t25_completed_pairs": "SELECT count(*) AS records, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b FROM (SELECT rkey, max(CASE WHEN tool = 'wisp' AND in_file THEN 1 ELSE 0 END) AS a, max(CASE WHEN tool = 'wpt' AND in_file THEN 1 ELSE 0 END) AS b FROM @GEO GROUP BY rkey HAVING count(DISTINCT CASE WHEN tool IN ('wisp', 'wpt') AND conf IS NOT NULL THEN tool END) = 2) AS x",
+    "t25_completed_pairs": "SELECT count(*) AS records, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b FROM (SELECT rkey, max(CASE WHEN tool = 'wpt' AND in_file THEN 1 ELSE 0 END) AS a, max(CASE WHEN tool = 'progpilot' AND in_file THEN 1 ELSE 0 END) AS b FROM @GEO GROUP BY rkey HAVING count(DISTINCT CASE WHEN tool IN ('wpt', 'progpilot') AND conf IS NOT NULL THEN tool END) = 2) AS x",
     "q01_host_failures": "SELECT count(*) AS releases, CAST(sum(zip_errors) AS BIGINT) AS errors, coalesce(sum(zip_errors) * 1.0 / sum(zips), 0.0) > 0.01 AS refused FROM parser_coverage",
     "q04_distinct_reasons": "SELECT tool, count(DISTINCT message) AS reasons, count(*) AS n, round(count(DISTINCT message) * 1.0 / count(*), 9) AS ratio FROM @F GROUP BY tool",
-    "q07_reconciled": "SELECT slug, path, line, CASE WHEN a = b THEN a ELSE c END AS cls FROM (SELECT slug, path, line, min(CASE WHEN tool = 'wisp' THEN cls END) AS a, min(CASE WHEN tool = 'wpt' THEN cls END) AS b, min(CASE WHEN tool = 'semgrep' THEN cls END) AS c FROM @F GROUP BY slug, path, line) AS x WHERE a IS NOT NULL OR b IS NOT NULL OR c IS NOT NULL",
+    "q07_reconciled": "SELECT slug, path, line, CASE WHEN a = b THEN a ELSE c END AS cls FROM (SELECT slug, path, line, min(CASE WHEN tool = 'wpt' THEN cls END) AS a, min(CASE WHEN tool = 'progpilot' THEN cls END) AS b, min(CASE WHEN tool = 'semgrep' THEN cls END) AS c FROM @F GROUP BY slug, path, line) AS x WHERE a IS NOT NULL OR b IS NOT NULL OR c IS NOT NULL",
     "q08_totals": "SELECT (SELECT count(*) FROM @F) = (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT tool, count(*) AS n FROM @F GROUP BY tool) AS x) AS closed",
     "q10_stamp": "SELECT run_uid, tool, count(*) AS findings, min(scanned_at) AS first_scan, max(scanned_at) AS last_scan FROM @F GROUP BY run_uid, tool",
     "q13_same_records": "SELECT a.tool AS a, b.tool AS b, count(*) AS shared FROM (SELECT DISTINCT tool, rkey FROM @F) AS a JOIN (SELECT DISTINCT tool, rkey FROM @F) AS b ON a.rkey = b.rkey AND a.tool < b.tool GROUP BY a.tool, b.tool",
