@@ -27,8 +27,6 @@ NOTICES = (
     "gerado por", "gerado automaticamente", "não editar", "nao editar", "generato da", "generato automaticamente", "non modificare",
     "сгенерирован", "не редактировать", "автоматически создан", "自動生成", "編集しないで", "自动生成", "请勿编辑",
 )
-#: Directories and names that such files usually have; they back up what the content shows.
-PLACES = re.compile(r"(?:^|/)(?:vendor|vendors|third[-_]party|node_modules|bower_components|composer|generated|dist|build)/|[.-]min\.[a-z]+$|-bundle\.[a-z]+$|_pb\.[a-z]+$|(?:^|/)autoload_[a-z]+\.php$")
 LOCKFILES = re.compile(r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|composer\.lock|gemfile\.lock|poetry\.lock|cargo\.lock)$")
 
 WORD = re.compile(r"\w+")
