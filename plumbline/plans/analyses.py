@@ -107,10 +107,10 @@ def f26_identifiers(spark, folder):
 
 @query("SELECT finding_id, row_number() OVER (ORDER BY sha256('20260717|' || finding_uid), finding_id) AS place FROM (SELECT finding_id, min(finding_uid) AS finding_uid FROM findings GROUP BY finding_id) QUALIFY place <= 500")
 def f29_permutation(spark, folder):
-    """The first 500 findings in the order of a seeded hash: a shuffle without a generator."""
+    """All findings numbered in the order of a seeded hash: a shuffle without a generator."""
     rows = table(spark, folder, "findings", "finding_id", "finding_uid").groupBy("finding_id").agg(F.min("finding_uid").alias("finding_uid"))
-    top = rows.select("finding_id", F.sha2(F.concat_ws("|", F.lit("20260717"), "finding_uid"), 256).alias("h")).orderBy("h", "finding_id").limit(500)
-    return top.select("finding_id", F.row_number().over(Window.orderBy("h", "finding_id")).alias("place"))
+    hashed = rows.select("finding_id", F.sha2(F.concat_ws("|", F.lit("20260717"), "finding_uid"), 256).alias("h"))
+    return even_rank(hashed, [], [F.col("h"), F.col("finding_id")], "place").select("finding_id", "place")
 
 
 @query("SELECT n, pow(0.5, n) * 2 AS floor FROM range(1, 21) t(n)")
