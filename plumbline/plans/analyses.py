@@ -15,6 +15,7 @@ from plumbline.plans.base_sql import BASE, ORDER, SLUG
 from plumbline.sources.tables import table
 
 REPLICATES = 200
+TOP_K = 3
 _DRAW = "CAST(('0x' || substr(md5({0}), 1, 15)) AS BIGINT)"
 
 
@@ -113,6 +114,22 @@ def f29_permutation(spark, folder):
     return even_rank(hashed, [], [F.col("h"), F.col("finding_id")], "place").select("finding_id", "place")
 
 
+@query()
+def q12_fingerprint(spark, folder):
+    """What an analysis was computed over: findings, records, findings at top k, and a mark of every column of every delivered row.
+
+    A row's columns are written as JSON and hashed by SHA-256; the hashes' four 64-bit parts are summed up apart, so
+    the mark depends on no order, but on how often a row occurs.
+    """
+    n = base.findings(spark, folder).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rkey").alias("records"), F.count_if(F.col("rank") <= TOP_K).alias("n_topk"))
+    raw = table(spark, folder, "findings")
+    exact = {"timestamp": F.unix_micros, "timestamp_ntz": lambda c: c.cast("string"), "double": lambda c: c.cast("string"), "float": lambda c: c.cast("string")}
+    columns = [exact.get(kind, lambda c: c)(F.col(c)).alias(c) for c, kind in sorted(raw.dtypes)]
+    h = raw.select(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("h"))
+    sums = [F.coalesce(F.sum(F.conv(F.substring("h", i, 16), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for i in (1, 17, 33, 49)]
+    return n.crossJoin(h.agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *sums), 256).alias("mark")))
+
+
 @query("SELECT n, pow(0.5, n) * 2 AS floor FROM range(1, 21) t(n)")
 def f31_power_floor(spark, folder):
     return spark.range(1, 21).select(F.col("id").alias("n"), (F.pow(F.lit(0.5), "id") * 2).alias("floor"))

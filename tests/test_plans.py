@@ -2,6 +2,8 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from plumbline.plans.catalogue import QUERIES
 
 
@@ -12,3 +14,17 @@ def test_permutation_places_every_finding(spark, small):
     order = sorted(uids, key=lambda i: (hashlib.sha256(f"20260717|{uids[i]}".encode()).hexdigest(), i))
     got = {r.place: r.finding_id for r in QUERIES["f29_permutation"](spark, small).collect()}
     assert len(uids) > 500 and [got.get(n) for n in range(1, len(order) + 1)] == order
+
+
+def test_fingerprint_notices_any_change(spark, small, tmp_path):
+    mark = lambda df: [df.write.mode("overwrite").parquet(f"{tmp_path}/findings.parquet"), QUERIES["q12_fingerprint"](spark, str(tmp_path)).first()][1]
+    spark.read.parquet(f"{small}/class_aliases.parquet").write.parquet(f"{tmp_path}/class_aliases.parquet")
+    rows = spark.read.parquet(f"{small}/findings.parquet").limit(100)
+    first = mark(rows)
+    assert first.n == rows.select("finding_id").distinct().count() and first.n_topk == rows.where("rank <= 3").select("finding_id").distinct().count()
+    assert mark(rows.orderBy(F.desc("finding_uid")).repartition(3)).mark == first.mark
+    assert mark(rows.union(rows.limit(1))).mark != first.mark
+    new = {"line": F.lit(123456), "confidence": F.lit(0.123), "scanned_at": F.expr("scanned_at + INTERVAL 1 MICROSECOND"), "trace": F.array(F.lit("x"), F.lit(None)), "file": F.lit("new"), "vuln_class": F.lit("new")}
+    for column, value in new.items():
+        one = F.col("finding_id") == rows.where(f"{column} IS NOT NULL").agg(F.max("finding_id")).first()[0]
+        assert mark(rows.withColumn(column, F.when(one, value).otherwise(F.col(column)))).mark != first.mark
