@@ -59,4 +59,7 @@ HOOKS = (
     (r"add_action\s*\(\s*['\"]wp_ajax_nopriv_\w+['\"]", "ajax_nopriv", 1), (r"add_action\s*\(\s*['\"]wp_ajax_(?!nopriv_)\w+['\"]", "ajax_auth", 2), (r"register_rest_route\s*\(", "rest_api", 3),
     (r"add_shortcode\s*\(\s*['\"][\w-]+['\"]", "shortcode", 4), (r"add_action\s*\(\s*['\"]init['\"]", "admin", 5), (r"add_action\s*\(\s*['\"]admin_\w*['\"]", "admin", 6),
 )
+#: Registrars of admin pages, and permission callbacks that let everybody in.
+MENUS = r"\b(add_(?:menu|submenu|options|management|theme|plugins|users|dashboard|posts|media|comments|pages)_page)\s*\("
+PUBLIC = r"(?i)__return_true|^\s*['\"]?true['\"]?\W*$"
 CONFIDENCE = {"output": 0.60, "include": 0.66, "call": 0.66, "persistent": 0.52, "risk": 0.45, "across": 0.72}

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CLOSES = {"(": ")", "[": "]", "{": "}"}
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|(?://|#(?!\[))[^\n]*", re.S)
 
 
 def balanced(text: str, start: int) -> int:
-    """Index behind the bracket that closes the one at ``start``, -1 if none does; quotes and escapes are passed over."""
+    """Index behind the bracket that closes the one at ``start``, -1 if none does; quotes, escapes and comments are passed over."""
     stack, i, n = [], start, len(text)
     while i < n:
         c = text[i]
@@ -23,6 +24,8 @@ def balanced(text: str, start: int) -> int:
             i += 1
             while i < n and text[i] != c:
                 i += 2 if text[i] == "\\" else 1
+        elif c in "/#" and (m := COMMENT.match(text, i)):
+            i = m.end() - 1
         elif c in CLOSES:
             stack.append(CLOSES[c])
         elif c in ")]}":
@@ -44,6 +47,11 @@ def call_arguments(text: str, name: str) -> list[str]:
     return out
 
 
+def uncommented(text: str) -> str:
+    """Text without comments; what looks like one inside quotes stays."""
+    return re.sub(r"('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|" + COMMENT.pattern, lambda m: m[1] or " ", text, flags=re.S)
+
+
 def split_arguments(text: str) -> list[str]:
     """Arguments at the top level of an argument text."""
     out, start, i, depth = [], 0, 0, 0
@@ -71,6 +79,18 @@ def key_value(text: str, key: str) -> str | None:
     return split_arguments(text[m.end() :])[0] if m and split_arguments(text[m.end() :]) else None
 
 
+def endpoints(arguments: str) -> list[tuple[str | None, str | None]]:
+    """Callback and permission callback of every endpoint in the arguments of ``register_rest_route``, which takes one array or a list of them."""
+    def elements(array: str) -> list[str]:
+        m = re.match(r"(?:array\s*)?[(\[]", array)
+        end = balanced(array, m.end() - 1) if m else -1
+        return split_arguments(array[m.end() : end - 1]) if end > 0 else []
+
+    inner = [elements(x) for options in split_arguments(arguments)[2:3] for x in elements(options)]
+    many = [", ".join(x) for x in inner if any(re.match(r"['\"]callback['\"]\s*=>", e) for e in x)]
+    return [(key_value(x, "callback"), key_value(x, "permission_callback")) for x in many or [arguments]]
+
+
 def callback_name(text: str) -> str | None:
     """Terminal name of a callback argument: string, ``array($this, 'm')``, ``X::class``; null for closures and variables."""
     text = (text or "").strip()

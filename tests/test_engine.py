@@ -74,3 +74,28 @@ def test_recursion_ends_and_reports_its_cap():
 def test_damaged_code_ends(php):
     p = Parser(php)
     p.file()
+
+
+LONG = "'args' => array(" + ", ".join(f"'f{i}' => array('type' => 'string', 'default' => ')')" for i in range(20)) + ")"
+SAVE = " function save_items(){ update_option('k', $_POST['k']); } function page(){ check_admin_referer('n'); if(!current_user_can('x')){return;} save_items(); }"
+
+
+@pytest.mark.parametrize("call,handlers,classes", [
+    (f"register_rest_route('shop/v1','/items',array('methods'=>'POST',{LONG}, // don't: 'callback' => 'old'\n 'callback'=>'save_items'));", {"save_items"}, {"csrf", "auth"}),
+    (f"register_rest_route('shop/v1','/items',[['methods'=>'GET','callback'=>[$this,'get_items']],[{LONG},'callback'=>[$this,'save_items'],'permission_callback'=>'__return_true']]);", {"get_items", "save_items"}, {"csrf", "auth"}),
+    (f"register_rest_route('shop/v1','/items',array({LONG},'permission_callback'=>function(){{ return current_user_can('x'); }},'callback'=>'save_items'));", {"save_items"}, {"csrf"}),
+    (f"add_action('wp_ajax_put', array( /* {'-' * 400} */ $this, 'save_items' ), 10);", {"save_items"}, {"csrf", "auth"}),
+    ("add_shortcode('s', function(){ return 'x'; });", set(), set()),
+])
+def test_handlers_are_read_from_the_whole_call(call, handlers, classes):
+    plugin = Plugin([("a.php", f"<?php {call}{SAVE}")])
+    assert set(plugin.handlers) == handlers
+    found = {f["vuln_class"]: f["guard_deficit"] for f in plugin.findings}
+    assert set(found) == classes and set(found.values()) <= {1.0}
+
+
+def test_admin_pages_are_gated():
+    save = "function show(){ update_option('k', $_POST['k']); }"
+    found = lambda call: {f["vuln_class"] for f in Plugin([("a.php", f"<?php {call} {save}")]).findings}
+    assert found("add_menu_page('T','M','manage_options','slug','show','icon');") == {"csrf"} == found("add_submenu_page('p','T','M','manage_options','slug',array($this,'show'));")
+    assert found("add_menu_page('T','M','manage_options','show');") == {"csrf", "auth"}
