@@ -70,7 +70,7 @@ def s18_hashes(spark, folder):
 @query("SELECT vuln_class AS label, CASE WHEN lower(vuln_class) LIKE '%sql%' THEN 'sqli' WHEN lower(vuln_class) LIKE '%object injection%' OR lower(vuln_class) LIKE '%deserial%' THEN 'deserial' WHEN lower(vuln_class) LIKE '%cross-site request forgery%' OR lower(vuln_class) LIKE '%cross site request forgery%' OR lower(vuln_class) LIKE '%csrf%' THEN 'csrf' WHEN lower(vuln_class) LIKE '%server side request forgery%' OR lower(vuln_class) LIKE '%server-side request forgery%' OR lower(vuln_class) LIKE '%ssrf%' THEN 'ssrf' WHEN lower(vuln_class) LIKE '%cross-site scripting%' OR lower(vuln_class) LIKE '%cross site scripting%' OR lower(vuln_class) LIKE '%xss%' OR lower(vuln_class) LIKE '%web page generation%' THEN 'xss' WHEN lower(vuln_class) LIKE '%broken access%' OR lower(vuln_class) LIKE '%authentication%' OR lower(vuln_class) LIKE '%privilege%' OR lower(vuln_class) LIKE '%bypass%' OR lower(vuln_class) LIKE '%idor%' OR lower(vuln_class) LIKE '%insecure direct object%' OR lower(vuln_class) LIKE '%authorization%' THEN 'auth' WHEN lower(vuln_class) LIKE '%upload%' THEN 'upload' WHEN lower(vuln_class) LIKE '%path traversal%' OR lower(vuln_class) LIKE '%directory traversal%' OR lower(vuln_class) LIKE '%file download%' OR lower(vuln_class) LIKE '%file inclusion%' OR lower(vuln_class) LIKE '%lfi%' THEN 'lfi' WHEN lower(vuln_class) LIKE '%remote code execution%' OR lower(vuln_class) LIKE '%arbitrary code%' OR lower(vuln_class) LIKE '%command injection%' OR lower(vuln_class) LIKE '%code injection%' OR lower(vuln_class) LIKE '%rce%' THEN 'rce' ELSE 'other' END AS cls, count(*) AS n FROM findings WHERE vuln_class NOT IN ('Broken Access Control') AND vuln_class IS NOT NULL GROUP BY 1, 2")
 def s10_types(spark, folder):
     """Advisory labels to classes: exact names first, then the first phrase that occurs."""
-    rows = table(spark, folder, "findings", "vuln_class").where("vuln_class IS NOT NULL AND vuln_class <> 'Broken Access Control'")
+    rows = table(spark, folder, "findings", "vuln_class").where("vuln_class IS NOT NULL")
     return rows.groupBy(F.col("vuln_class").alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("cls", text.advisory_class("label"))
 
 

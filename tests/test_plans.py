@@ -28,3 +28,10 @@ def test_fingerprint_notices_any_change(spark, small, tmp_path):
     for column, value in new.items():
         one = F.col("finding_id") == rows.where(f"{column} IS NOT NULL").agg(F.max("finding_id")).first()[0]
         assert mark(rows.withColumn(column, F.when(one, value).otherwise(F.col(column)))).mark != first.mark
+
+
+def test_types_report_every_label(spark, small):
+    rows = spark.read.parquet(f"{small}/findings.parquet")
+    got = {r.label: (r.n, r.cls) for r in QUERIES["s10_types"](spark, small).collect()}
+    assert set(got) == {r[0] for r in rows.select("vuln_class").where("vuln_class IS NOT NULL").distinct().collect()}
+    assert got["Broken Access Control"] == (rows.where("vuln_class = 'Broken Access Control'").count(), "auth")
