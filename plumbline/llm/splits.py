@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,43 +63,53 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
     return parents
 
 
-def take_sizes(sizes: dict[int, int], target: int, exact: int = 1 << 20) -> dict[int, int]:
+def nearest(reach: int, target: int) -> int:
+    """The set bit nearest to ``target``, the lower of two equally near; bit 0 must be set."""
+    low = (reach & ((1 << (target + 1)) - 1)).bit_length() - 1
+    above = reach >> (target + 1)
+    high = target + (above & -above).bit_length() if above else None
+    return low if high is None or target - low <= high - target else high
+
+
+def take_sizes(sizes: dict[int, int], target: int, exact: int = 1 << 30) -> dict[int, int]:
     """How many groups of each size to take so that their sizes sum up as near to ``target`` as can be.
 
-    Subset sums are bitsets in one integer each, a size's multiplicity being cut into powers of two. Sums above
-    ``exact`` would need long bitsets, so the largest sizes are dealt out first until at most that much is
-    missing; what remains is solved exactly. Of two sums equally near, the smaller is taken.
+    Subset sums are bitsets in one integer each, a size's multiplicity being cut into powers of two. The way back
+    needs the sums reached before each step: they are kept as long as they have at most ``exact`` bits together;
+    longer ways are halved, and the sums of the second half formed again, so that few bitsets are held at a time.
+    The result is the same. Of two sums equally near, the smaller is taken.
     """
     taken: Counter[int] = Counter()
     rest = {s: m for s, m in sizes.items() if s > 0 and m > 0}
-    for s in sorted(rest, reverse=True):
-        if target <= exact:
-            break
-        k = min(rest[s], (target - exact) // s)
-        if k > 0:
-            taken[s] += k
-            rest[s] -= k
-            target -= k * s
     if target <= 0:
-        return dict(taken)
-    limit = target + max([s for s, m in rest.items() if m] or [0])
+        return {}
+    limit = target + max(rest, default=0)
     mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
+    add = lambda r, step: (r | r << (step[0] * step[1])) & mask
     for s in sorted(rest, reverse=True):
         m, k = rest[s], 1
         while m:
             k = min(k, m)
             if k * s <= limit:
-                steps.append((s, k, reach))
-                reach = (reach | reach << (k * s)) & mask
+                steps.append((s, k))
+                reach = add(reach, (s, k))
             m -= k
             k *= 2
         if reach >> target & 1:
             break
-    best = next(x for d in range(limit + 1) for x in (target - d, target + d) if 0 <= x <= limit and reach >> x & 1)
-    for s, k, before in reversed(steps):
-        if not before >> best & 1:
-            taken[s] += k
-            best -= s * k
+
+    def back(part: list[tuple[int, int]], before: int, best: int) -> int:
+        """Takes what of ``part`` leads from a sum in ``before`` to ``best``; returns that sum."""
+        if len(part) > 1 and len(part) * limit > exact:
+            half = len(part) // 2
+            return back(part[:half], before, back(part[half:], reduce(add, part[:half], before), best))
+        for (s, k), r in reversed(list(zip(part, accumulate(part, add, initial=before)))):
+            if not r >> best & 1:
+                taken[s] += k
+                best -= s * k
+        return best
+
+    back(steps, 1, nearest(reach, target))
     return dict(taken)
 
 

@@ -68,6 +68,16 @@ def test_take_sizes_is_as_near_as_can_be(sizes, target):
     assert abs(sum(s * k for s, k in splits.take_sizes(dict(sizes), target, exact=4).items()) - target) <= max([*sizes, 0, target])
 
 
+@pytest.mark.parametrize("exact", [4, 1 << 22, 1 << 30])
+def test_take_sizes_is_exact_at_any_size(exact):
+    assert splits.take_sizes({10250: 1, 1150: 1, 100: 1}, 1150, exact=exact) == {1150: 1}
+    taken = splits.take_sizes({10250000: 1, 1150000: 1, 100000: 1}, 1150000, exact=exact)
+    assert sum(s * k for s, k in taken.items()) == 1150000
+    small = {7: 3, 5: 4, 11: 2}
+    for target in range(75):
+        assert splits.take_sizes(small, target, exact=exact) == splits.take_sizes(small, target)
+
+
 def test_split_groups_stay_whole(spark):
     groups = spark.range(1000).select(F.col("id").alias("node"), F.when(F.col("id") < 330, 0).otherwise(F.floor(F.col("id") / 3) * 3).cast("long").alias("root"))
     rows = splits.split_groups(groups, {"test": 0.1, "validation": 0.2}).collect()
