@@ -51,17 +51,19 @@ def interval(reps: DataFrame, value: Column, name: str = "value") -> DataFrame:
 def binomial_two_sided(b: Column, c: Column) -> Column:
     """Exact two-sided McNemar p: twice the tail of Binomial(b + c, 1/2), at most 1; 1 where nothing is discordant.
 
-    The tail is a running product of ratios of neighbouring terms, folded over a sequence, so no factorials.
+    The fold keeps the logarithm of the current term, which would be 0 as a double from 1075 records on, and the
+    tail's sum in units of that term, which lies between 1 and its number of terms.
     """
     n, k = (b + c).cast("double"), F.least(b, c)
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.pow(F.lit(0.5), n).alias("sum"))
+    start = F.struct((n * F.log(F.lit(0.5))).alias("log"), F.lit(1.0).alias("sum"))
 
     def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * (n - i + 1) / i
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+        ratio = (n - i + 1) / i
+        return F.struct((acc["log"] + F.log(ratio)).alias("log"), (1.0 + acc["sum"] / ratio).alias("sum"))
 
     steps = F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(steps, start, step)["sum"]))
+    tail = F.aggregate(steps, start, step, lambda acc: F.exp(acc["log"] + F.log(acc["sum"])))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
 def sign_flip(differences: DataFrame, value: str = "d") -> DataFrame:

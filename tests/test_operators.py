@@ -79,6 +79,15 @@ def test_exact_tests(spark):
     assert {r.k: round(r.holm, 6) for r in h} == {"a": 0.03, "b": 0.06, "c": 0.06}
 
 
+def test_exact_tests_of_many_records(spark):
+    cases = [(600, 600), (560, 640), (2000, 2000), (1900, 2100), (0, 1100)]
+    got = spark.createDataFrame(cases, "b int, c int").select("b", "c", statistics.binomial_two_sided(F.col("b"), F.col("c")).alias("p")).collect()
+    for r in got:
+        n, k = r.b + r.c, min(r.b, r.c)
+        assert r.p == pytest.approx(min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n), rel=1e-9, abs=1e-300)
+    assert got[0].p == got[2].p == 1
+
+
 def test_allocation(spark):
     got = {r.k: r.take for r in statistics.allocate(spark.createDataFrame([("a", 90), ("b", 9), ("c", 1)], "k string, size long"), "size", 20, ["k"]).collect()}
     assert got["c"] == 1 and sum(got.values()) == 20
