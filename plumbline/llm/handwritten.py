@@ -27,6 +27,8 @@ NOTICES = (
     "gerado por", "gerado automaticamente", "não editar", "nao editar", "generato da", "generato automaticamente", "non modificare",
     "сгенерирован", "не редактировать", "автоматически создан", "自動生成", "編集しないで", "自动生成", "请勿编辑",
 )
+#: Letters of scripts that set no blanks between words: kana and Han.
+UNSPACED = re.compile(r"[\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 LOCKFILES = re.compile(r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|composer\.lock|gemfile\.lock|poetry\.lock|cargo\.lock)$")
 
 WORD = re.compile(r"\w+")
@@ -115,9 +117,9 @@ _DIGITS, _BLANKS, _CONTROL = b"0123456789", b" \t\n\r", bytes(x for x in range(3
 
 
 def noticed(head: str, automaton: ahocorasick.Automaton) -> bool:
-    """Whether a notice stands in the text as whole words."""
+    """Whether a notice stands in the text as whole words, as far as its script separates words."""
     low = head.lower()
-    return any(not low[end + 1 : end + 2].isalnum() for end, _ in automaton.iter(low))
+    return any(not low[end + 1 : end + 2].isalnum() or UNSPACED.match(low, end) for end, _ in automaton.iter(low))
 
 
 def repeated(lines: list[str]) -> tuple[str, float]:

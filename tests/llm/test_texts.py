@@ -154,3 +154,8 @@ def test_held_out_pages_agree_with_their_labels(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_runs(spark, small, name):
     QUERIES[name](spark, small).count()
+
+
+@pytest.mark.parametrize("notice,expected", [("自動生成されました", True), ("このファイルは編集しないでください", True), ("自动生成的", True), ("请勿编辑此文件", True), ("generated fileset", False), ("autogenerated by x", True)])
+def test_notices_in_scripts_without_blanks(notice, expected):
+    assert handwritten.noticed(f"// {notice}", handwritten.notices()) == expected
