@@ -50,8 +50,8 @@ def label_key(c: Column | str) -> Column:
 
 def uuid_hex(c: Column | str) -> Column:
     """The 32 hexadecimal digits of a UUID in any usual notation, else null."""
-    digits = F.lower(F.trim(_col(c)))
-    for mark in ("-", "urn:uuid:", "{", "}"):
+    digits = F.lower(_col(c))
+    for mark in ("-", "urn:uuid:", "{", "}", " ", "\t", "\r", "\n", "\f"):
         digits = F.replace(digits, F.lit(mark), F.lit(""))
     return F.when((F.length(digits) == 32) & F.unhex(digits).isNotNull(), digits)
 

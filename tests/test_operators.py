@@ -22,6 +22,13 @@ def test_keys(spark):
     assert [tuple(r) for r in out] == [("foo-bar", "a/b.php", None, h), ("foo-bar", "a/b.php", "twowords", h), ("1-2", None, None, None), (None, "", None, None)]
 
 
+def test_uuids_with_any_white_space(spark):
+    h = "a0eebc999c0b4ef8bb6d6bb9bd380a11"
+    texts = [f"\t{h}", f"{h}\r\n", "a0eebc99 9c0b4ef8\tbb6d 6bb9bd380a11", "\f{ a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11 }\f", f" urn:uuid:{h.upper()}\n"]
+    df = spark.createDataFrame([(x,) for x in texts], "u string")
+    assert [r[0] for r in df.select(keys.uuid_hex("u")).collect()] == [h] * len(texts)
+
+
 def test_spread_rank_numbers_each_group(spark):
     df = spark.range(500).select((F.col("id") % 2).alias("g"), "id")
     got = rank.spread_rank(df, ["g"], F.xxhash64("id"), "n", buckets=8).collect()
