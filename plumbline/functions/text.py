@@ -56,6 +56,32 @@ def tool_class(c: str) -> Column:
     return cascade(c, TOOL_PHRASES)
 
 
-def scrub(c: str) -> Column:
-    """Text without names of tools and dotted rule identifiers."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?i)\b(semgrep|progpilot|codeql)\b", "[tool]"), r"\b[a-z]+(\.[a-z-]+){2,}\b", "[rule]")
+# Names that tell the producing tool, and the form and namespaces of its rules' identifiers.
+TOOL_NAMES = (r"semgrep", r"progpilot", r"wp[-_ ]?taint", r"taint[-_ ]?scan", r"wpt")
+_WORD = r"\p{L}\p{N}_"
+RULE_NAME = rf"^[{_WORD}-]+(\.[{_WORD}-]+){{2,}}$"
+RULE_SPACE = rf"(?i)(^|[^{_WORD}])(php\.lang|php\.security|semgrep|progpilot)($|[^{_WORD}])|(^|[^{_WORD}])generic\.[{_WORD}]"
+
+
+def rule_name(token: Column) -> Column:
+    """Whether a whole token is a rule's identifier: three or more dotted parts, or one of the known namespaces in it."""
+    return token.rlike(RULE_NAME) | token.rlike(RULE_SPACE)
+
+
+def scrub(c: str, names=TOOL_NAMES) -> Column:
+    """Text without names of tools; tokens between blanks that are rules' identifiers become ``[rule]``.
+
+    What a word's letter is is spelled out, so that the borders of names are the same in every engine. The pattern
+    runs twice, as neighbouring names share the character between them.
+    """
+    tools = f"(?i)(^|[^{_WORD}])({'|'.join(names)})($|[^{_WORD}])"
+    plain = F.regexp_replace(F.regexp_replace(F.col(c), tools, "$1[tool]$3"), tools, "$1[tool]$3")
+    return F.array_join(F.transform(F.split(plain, " "), lambda t: F.when(rule_name(t), F.lit("[rule]")).otherwise(t)), " ")
+
+
+def neutral_sink(c: str) -> Column:
+    """Sink for reviewers' eyes: a rule's identifier becomes the category its last part names, other symbols are scrubbed; null and blank ones are empty."""
+    sink = F.trim(F.coalesce(F.col(c), F.lit("")))
+    leaf = F.trim(F.translate(F.element_at(F.split(sink, r"\."), -1), "-_", "  "))
+    named = F.when(leaf != "", F.concat(F.lit("(sink category: "), leaf, F.lit(")"))).otherwise(F.lit("(sink category: unspecified)"))
+    return F.when(sink == "", F.lit("")).when(rule_name(sink), named).otherwise(scrub(c))

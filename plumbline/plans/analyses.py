@@ -67,7 +67,7 @@ def s18_hashes(spark, folder):
     return table(spark, folder, "source_files", "file_id", "content").where("content IS NOT NULL").select("file_id", F.sha2("content", 256).alias("hash"))
 
 
-@query("SELECT vuln_class AS label, CASE WHEN lower(vuln_class) LIKE '%sql%' THEN 'sqli' WHEN lower(vuln_class) LIKE '%object injection%' OR lower(vuln_class) LIKE '%deserial%' THEN 'deserial' WHEN lower(vuln_class) LIKE '%cross-site request forgery%' OR lower(vuln_class) LIKE '%cross site request forgery%' OR lower(vuln_class) LIKE '%csrf%' THEN 'csrf' WHEN lower(vuln_class) LIKE '%server side request forgery%' OR lower(vuln_class) LIKE '%server-side request forgery%' OR lower(vuln_class) LIKE '%ssrf%' THEN 'ssrf' WHEN lower(vuln_class) LIKE '%cross-site scripting%' OR lower(vuln_class) LIKE '%cross site scripting%' OR lower(vuln_class) LIKE '%xss%' OR lower(vuln_class) LIKE '%web page generation%' THEN 'xss' WHEN lower(vuln_class) LIKE '%broken access%' OR lower(vuln_class) LIKE '%authentication%' OR lower(vuln_class) LIKE '%privilege%' OR lower(vuln_class) LIKE '%bypass%' OR lower(vuln_class) LIKE '%idor%' OR lower(vuln_class) LIKE '%insecure direct object%' OR lower(vuln_class) LIKE '%authorization%' THEN 'auth' WHEN lower(vuln_class) LIKE '%upload%' THEN 'upload' WHEN lower(vuln_class) LIKE '%path traversal%' OR lower(vuln_class) LIKE '%directory traversal%' OR lower(vuln_class) LIKE '%file download%' OR lower(vuln_class) LIKE '%file inclusion%' OR lower(vuln_class) LIKE '%lfi%' THEN 'lfi' WHEN lower(vuln_class) LIKE '%remote code execution%' OR lower(vuln_class) LIKE '%arbitrary code%' OR lower(vuln_class) LIKE '%command injection%' OR lower(vuln_class) LIKE '%code injection%' OR lower(vuln_class) LIKE '%rce%' THEN 'rce' ELSE 'other' END AS cls, count(*) AS n FROM findings WHERE vuln_class NOT IN ('Broken Access Control') AND vuln_class IS NOT NULL GROUP BY 1, 2")
+@query("SELECT vuln_class AS label, CASE WHEN vuln_class = 'SQL Injection' THEN 'sqli' WHEN vuln_class = 'Cross Site Request Forgery (CSRF)' THEN 'csrf' WHEN vuln_class = 'Cross Site Scripting (XSS)' THEN 'xss' WHEN vuln_class IN ('PHP Object Injection', 'Deserialization of untrusted data') THEN 'deserial' WHEN vuln_class IN ('Remote Code Execution (RCE)', 'Arbitrary Code Execution') THEN 'rce' WHEN vuln_class IN ('Broken Access Control', 'Broken Authentication', 'Privilege Escalation', 'Bypass Vulnerability', 'Insecure Direct Object References (IDOR)') THEN 'auth' WHEN vuln_class IN ('Local File Inclusion', 'Path Traversal', 'Arbitrary File Download') THEN 'lfi' WHEN vuln_class = 'Server Side Request Forgery (SSRF)' THEN 'ssrf' WHEN vuln_class = 'Arbitrary File Upload' THEN 'upload' WHEN vuln_class IN ('Sensitive Data Exposure', 'CSV Injection', 'Arbitrary File Deletion', 'Multiple Vulnerabilities') THEN 'other' WHEN lower(vuln_class) LIKE '%sql%' THEN 'sqli' WHEN lower(vuln_class) LIKE '%object injection%' OR lower(vuln_class) LIKE '%deserial%' THEN 'deserial' WHEN lower(vuln_class) LIKE '%cross-site request forgery%' OR lower(vuln_class) LIKE '%cross site request forgery%' OR lower(vuln_class) LIKE '%csrf%' THEN 'csrf' WHEN lower(vuln_class) LIKE '%server side request forgery%' OR lower(vuln_class) LIKE '%server-side request forgery%' OR lower(vuln_class) LIKE '%ssrf%' THEN 'ssrf' WHEN lower(vuln_class) LIKE '%cross-site scripting%' OR lower(vuln_class) LIKE '%cross site scripting%' OR lower(vuln_class) LIKE '%xss%' OR lower(vuln_class) LIKE '%web page generation%' THEN 'xss' WHEN lower(vuln_class) LIKE '%broken access%' OR lower(vuln_class) LIKE '%authentication%' OR lower(vuln_class) LIKE '%privilege%' OR lower(vuln_class) LIKE '%bypass%' OR lower(vuln_class) LIKE '%idor%' OR lower(vuln_class) LIKE '%insecure direct object%' OR lower(vuln_class) LIKE '%authorization%' THEN 'auth' WHEN lower(vuln_class) LIKE '%upload%' THEN 'upload' WHEN lower(vuln_class) LIKE '%path traversal%' OR lower(vuln_class) LIKE '%directory traversal%' OR lower(vuln_class) LIKE '%file download%' OR lower(vuln_class) LIKE '%file inclusion%' OR lower(vuln_class) LIKE '%lfi%' THEN 'lfi' WHEN lower(vuln_class) LIKE '%remote code execution%' OR lower(vuln_class) LIKE '%arbitrary code%' OR lower(vuln_class) LIKE '%command injection%' OR lower(vuln_class) LIKE '%code injection%' OR lower(vuln_class) LIKE '%rce%' THEN 'rce' ELSE 'other' END AS cls, count(*) AS n FROM findings WHERE vuln_class IS NOT NULL GROUP BY 1, 2")
 def s10_types(spark, folder):
     """Advisory labels to classes: exact names first, then the first phrase that occurs."""
     rows = table(spark, folder, "findings", "vuln_class").where("vuln_class IS NOT NULL")
@@ -93,11 +93,23 @@ def f05_paths(spark, folder):
     return table(spark, folder, "source_files", "path").select("path", strip_top("path").alias("below"), path_key("path").alias("key"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\b(semgrep|progpilot|codeql)\b', '[tool]', 'g'), '\b[a-z]+(\.[a-z-]+){2,}\b', '[rule]', 'g') AS text FROM documents WHERE text IS NOT NULL""")
+_LETTER = r"\p{L}\p{N}_"
+_TOOLS = rf"(?i)(^|[^{_LETTER}])(semgrep|progpilot|wp[-_ ]?taint|taint[-_ ]?scan|wpt)($|[^{_LETTER}])"
+_RULE = rf"regexp_matches(t, '^[{_LETTER}-]+(\.[{_LETTER}-]+){{{{2,}}}}$') OR regexp_matches(t, '(?i)(^|[^{_LETTER}])(php\.lang|php\.security|semgrep|progpilot)($|[^{_LETTER}])|(^|[^{_LETTER}])generic\.[{_LETTER}]')".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(text, '{_TOOLS}', '\\1[tool]\\3', 'g'), '{_TOOLS}', '\\1[tool]\\3', 'g'), ' '), lambda t: CASE WHEN {_RULE} THEN '[rule]' ELSE t END), ' ') AS text FROM documents WHERE text IS NOT NULL""")
 def f16_scrubbed(spark, folder):
     return table(spark, folder, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", text.scrub("text").alias("text"))
 
 
+@query("SELECT finding_id, sink, CASE WHEN trim(sink) = '' THEN '' WHEN regexp_matches(trim(sink), '^[\\p{L}\\p{N}_-]+(\\.[\\p{L}\\p{N}_-]+){2,}$') THEN '(sink category: ' || trim(translate(string_split(trim(sink), '.')[-1], '-_', '  ')) || ')' ELSE sink END AS neutral FROM (SELECT finding_id, min(sink) AS sink FROM findings WHERE sink IS NOT NULL GROUP BY finding_id)")
+def f16_sinks(spark, folder):
+    """Sinks without what tells the tool."""
+    rows = table(spark, folder, "findings", "finding_id", "sink").where("sink IS NOT NULL").groupBy("finding_id").agg(F.min("sink").alias("sink"))
+    return rows.select("finding_id", "sink", text.neutral_sink("sink").alias("neutral"))
+
+
 @query(with_bases("SELECT finding_id, sha256(concat_ws('|', rkey, tool, path, coalesce(CAST(line AS VARCHAR), ''), coalesce(cls, ''), CAST(row_number() OVER (PARTITION BY rkey, tool, path, line, cls ORDER BY finding_id) - 1 AS VARCHAR))) AS uid FROM F", "F"))
 def f26_identifiers(spark, folder):
     rows = base.findings(spark, folder)
@@ -106,7 +118,7 @@ def f26_identifiers(spark, folder):
     return rows.withColumn("uid", F.sha2(F.concat_ws("|", *parts), 256)).select("finding_id", "uid")
 
 
-@query("SELECT finding_id, row_number() OVER (ORDER BY sha256('20260717|' || finding_uid), finding_id) AS place FROM (SELECT finding_id, min(finding_uid) AS finding_uid FROM findings GROUP BY finding_id) QUALIFY place <= 500")
+@query("SELECT finding_id, row_number() OVER (ORDER BY sha256('20260717|' || finding_uid), finding_id) AS place FROM (SELECT finding_id, min(finding_uid) AS finding_uid FROM findings GROUP BY finding_id)")
 def f29_permutation(spark, folder):
     """All findings numbered in the order of a seeded hash: a shuffle without a generator."""
     rows = table(spark, folder, "findings", "finding_id", "finding_uid").groupBy("finding_id").agg(F.min("finding_uid").alias("finding_uid"))
@@ -114,18 +126,35 @@ def f29_permutation(spark, folder):
     return even_rank(hashed, [], [F.col("h"), F.col("finding_id")], "place").select("finding_id", "place")
 
 
-@query()
+def _marked(column: str, kind: str) -> str:
+    """How a value is written for the mark, in DuckDB's SQL: its length, a colon and its text; ``~`` for null."""
+    text_of = {"double": "lower(CAST({0} AS VARCHAR))", "ts": "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')", "list": "array_to_string(list_transform({0}, lambda x: coalesce(length(x) || ':' || x, '~')), '')"}
+    value = text_of.get(kind, "CAST({0} AS VARCHAR)").format(f'"{column}"')
+    return f"coalesce(length({value}) || ':' || {value}, '~')"
+
+
+_KINDS = {"confidence": "double", "guard_deficit": "double", "ingested_at": "ts", "scanned_at": "ts", "trace": "list"}
+_COLUMNS = "confidence cve entry_point file finding_id finding_uid function guard_deficit ingested_at interprocedural line message rank run_uid scanned_at sink slug source tool trace vuln_class".split()
+_ROW = " || ".join(_marked(c, _KINDS.get(c, "")) for c in _COLUMNS)
+_SUMS = " || '|' || ".join(f"CAST(coalesce(sum(CAST(CAST('0x' || substr(h, {i}, 16) AS UBIGINT) AS HUGEINT)), 0) AS VARCHAR)" for i in (1, 17, 33, 49))
+
+
+@query(with_bases(f"""SELECT count(*) AS n, count(DISTINCT rkey) AS records, count(*) FILTER (WHERE rank <= {TOP_K}) AS n_topk,
+ (SELECT sha256(count(*) || '|' || {_SUMS}) FROM (SELECT sha256({_ROW}) AS h FROM findings)) AS mark FROM F""", "F"))
 def q12_fingerprint(spark, folder):
     """What an analysis was computed over: findings, records, findings at top k, and a mark of every column of every delivered row.
 
-    A row's columns are written as JSON and hashed by SHA-256; the hashes' four 64-bit parts are summed up apart, so
-    the mark depends on no order, but on how often a row occurs.
+    A row's columns are written one behind the other, each with its length, and hashed by SHA-256; the hashes' four
+    64-bit parts are summed up apart, so the mark depends on no order, but on how often a row occurs.
     """
     n = base.findings(spark, folder).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rkey").alias("records"), F.count_if(F.col("rank") <= TOP_K).alias("n_topk"))
     raw = table(spark, folder, "findings")
-    exact = {"timestamp": F.unix_micros, "timestamp_ntz": lambda c: c.cast("string"), "double": lambda c: c.cast("string"), "float": lambda c: c.cast("string")}
-    columns = [exact.get(kind, lambda c: c)(F.col(c)).alias(c) for c, kind in sorted(raw.dtypes)]
-    h = raw.select(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("h"))
+    written = lambda v: F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("~"))
+    forms = {
+        "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "timestamp_ntz": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        "double": lambda c: F.lower(c.cast("string")), "array<string>": lambda c: F.array_join(F.transform(c, written), ""),
+    }
+    h = raw.select(F.sha2(F.concat(*[written(forms.get(kind, lambda c: c.cast("string"))(F.col(c))) for c, kind in sorted(raw.dtypes)]), 256).alias("h"))
     sums = [F.coalesce(F.sum(F.conv(F.substring("h", i, 16), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for i in (1, 17, 33, 49)]
     return n.crossJoin(h.agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *sums), 256).alias("mark")))
 

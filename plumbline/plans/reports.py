@@ -110,7 +110,6 @@ REPORTS: dict[str, str] = {
     "q05_drift": "SELECT p.slug, p.files AS shipped, c.files AS counted FROM (SELECT record_id, max(slug) AS slug, max(total_php_files) AS files FROM parser_coverage GROUP BY record_id) AS p JOIN (SELECT record_id, count(*) AS files FROM source_files WHERE lower(path) LIKE '%.php' GROUP BY record_id) AS c ON p.record_id = c.record_id WHERE p.files IS DISTINCT FROM c.files",
     "q06_disputed": "SELECT a.slug, a.path, a.line, min(a.cls) AS a, min(b.cls) AS b FROM @F a JOIN @F b ON a.slug = b.slug AND a.path = b.path AND a.line = b.line WHERE a.tool = 'wpt' AND b.tool = 'progpilot' AND a.cls <> b.cls GROUP BY a.slug, a.path, a.line",
     "q11_failure_policy": "SELECT record_id, CASE WHEN zip_errors > 0 THEN 'error' WHEN files_with_error > 0 THEN 'non_converged' END AS reason FROM parser_coverage",
-    "q12_fingerprint": "SELECT count(*) AS n, count(DISTINCT rkey) AS records, md5(min(md5(finding_uid)) || max(md5(finding_uid))) AS mark FROM @F",
     # more joins, sums and checks
     "s12_resolved": "SELECT p.record_id, coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NOT NULL THEN 'named' WHEN b.path IS NOT NULL THEN 'first' END AS how FROM (SELECT DISTINCT record_id, slug FROM plugins) AS p LEFT JOIN (SELECT record_id, min(path) AS path FROM source_files WHERE lower(path) LIKE '%/index.php' GROUP BY record_id) AS a ON a.record_id = p.record_id LEFT JOIN (SELECT record_id, min(path) AS path FROM source_files GROUP BY record_id) AS b ON b.record_id = p.record_id",
     "v01_vocabulary": "SELECT vuln_class, count(*) AS names, min(alias) AS first FROM class_aliases GROUP BY vuln_class",

@@ -26,12 +26,14 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that all executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (a local session)
-    a temporary folder of this machine takes its place.
+    Read from ``spark.checkpoint.dir``; only a local session may leave that unset, as there
+    a temporary folder of this machine is shared by all tasks. On a cluster it is an error.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = getattr(sc, "_plumbline_checkpoints", None)
         if not folder:
             folder = sc._plumbline_checkpoints = tempfile.mkdtemp(prefix="plumbline-")
