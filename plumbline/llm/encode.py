@@ -1,7 +1,8 @@
 """Encoding of a corpus with a public byte-level vocabulary, in Spark expressions alone.
 
-Texts are cut into words by the vocabulary's pattern. A word that is itself an entry has its id by one lookup;
-all other distinct words of the corpus are merged once each, and their ids go back to the texts by a join.
+Texts are cut into words by the vocabulary's pattern, once, and a word that is itself an entry has its id by one
+lookup; the outcome is written to the shared folder. All other distinct words of the corpus are merged once each,
+and their ids go back, by number, to the rows they are missing from; other rows are not shuffled.
 Bytes are written as pairs of hexadecimal digits, so that a piece is a string and joining pieces is ``concat``.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 import base64
 import os
 import zlib
+from collections.abc import Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +29,7 @@ PATTERN = (
     r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 )
 
-BUCKETS = 2048
+BUCKETS, WORD_BUCKETS = 2048, 8192
 NO_MERGE = 2**31 - 1
 
 
@@ -37,18 +39,49 @@ def _entries(path: str) -> tuple[tuple[str, int], ...]:
         return tuple((base64.b64decode(a).hex().upper(), int(b)) for a, b in map(bytes.split, filter(bytes.strip, f)))
 
 
+def _slotted(entries, buckets: int) -> list[list[tuple[str, int]]]:
+    """(text, id) pairs by the place that the text's checksum gives them."""
+    slots: list[list[tuple[str, int]]] = [[] for _ in range(buckets)]
+    for piece, rank in entries:
+        slots[zlib.crc32(piece.encode()) % buckets].append((piece, rank))
+    return slots
+
+
 @lru_cache(maxsize=4)
 def _ranks_sql(path: str) -> str:
-    """The rank map as one foldable expression: an array of maps, an entry's place being its checksum's."""
-    slots: list[list[str]] = [[] for _ in range(BUCKETS)]
+    """The rank map of pieces in hexadecimal digits, as one foldable expression: an array of maps."""
+    return "array(" + ",".join("str_to_map('" + ",".join(f"{p}:{r}" for p, r in s) + "', ',', ':')" for s in _slotted(_entries(path), BUCKETS)) + ")"
+
+
+@lru_cache(maxsize=4)
+def _words_sql(path: str) -> str:
+    """The same for entries that are text themselves; control characters, which no entry holds beside others, part them."""
+    texts = []
     for piece, rank in _entries(path):
-        slots[zlib.crc32(piece.encode()) % BUCKETS].append(f"{piece}:{rank}")
-    return "array(" + ",".join(f"str_to_map('{','.join(s)}', ',', ':')" for s in slots) + ")"
+        try:
+            word = bytes.fromhex(piece).decode()
+        except UnicodeDecodeError:
+            continue
+        if "\x01" not in word and "\x02" not in word:
+            texts.append((word, rank))
+    quoted = lambda s: "\x01".join(f"{w}\x02{r}" for w, r in s).replace("\\", "\\\\").replace("'", "\\'")
+    return "array(" + ",".join(f"str_to_map('{quoted(s)}', '\x01', '\x02')" for s in _slotted(texts, WORD_BUCKETS)) + ")"
 
 
-def rank_of(piece: Column, ranks: Column) -> Column:
+@lru_cache(maxsize=4)
+def _pairs_sql(path: str) -> str:
+    """Which byte follows which inside any entry: for each first byte 256 digits, 1 where the second may follow."""
+    rows = [bytearray(b"0" * 256) for _ in range(256)]
+    for piece, _ in _entries(path):
+        b = bytes.fromhex(piece)
+        for x, y in zip(b, b[1:]):
+            rows[x][y] = 49
+    return "array(" + ",".join(f"'{r.decode()}'" for r in rows) + ")"
+
+
+def rank_of(piece: Column, ranks: Column, buckets: int = BUCKETS) -> Column:
     """The id of a piece, null if it is no entry."""
-    slot = F.element_at(ranks, (F.pmod(F.crc32(piece), F.lit(BUCKETS)) + 1).cast("int"))
+    slot = F.element_at(ranks, (F.pmod(F.crc32(piece), F.lit(buckets)) + 1).cast("int"))
     return F.get(F.transform(F.array(piece), lambda p: slot[p]), 0).cast("int")
 
 
@@ -66,8 +99,20 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def merge_word(word: Column, ranks: Column) -> Column:
-    """The ids of one word: its bytes, folded by merging the pair of lowest rank (the first of equals) until none is left.
+def segments(word: Column, pairs: Column) -> Column:
+    """The bytes of a word in hexadecimal digits, cut wherever no entry holds the two neighbouring bytes.
+
+    No merge can cross such a place, so the segments' ids, one behind the other, are the word's. Merging is
+    quadratic in the length of what is merged; the cut leaves only stretches that entries could cover.
+    """
+    number = lambda h: F.conv(h, 16, 10).cast("int")
+    follows = lambda a, b: F.substring(F.get(pairs, number(a)), number(b) + 1, 1) == "1"
+    digits = F.regexp_extract_all(hex_of(word), F.lit(".."), F.lit(0))
+    return _bind(digits, lambda p: F.split(F.array_join(F.transform(p, lambda b, i: F.when((i > 0) & ~follows(F.get(p, i - 1), b), F.concat(F.lit(" "), b)).otherwise(b)), ""), " "))
+
+
+def merge_word(digits: Column, ranks: Column) -> Column:
+    """The ids of the bytes written as ``digits``, folded by merging the pair of lowest rank (the first of equals) until none is left.
 
     The ranks of neighbouring pairs are kept beside the pieces, so that a merge looks up two pairs only.
     """
@@ -79,7 +124,7 @@ def merge_word(word: Column, ranks: Column) -> Column:
 
     none = F.array().cast("array<int>")
     start = _bind(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(hex_of(word)), F.lit(2)) - 1, F.lit(2)), lambda i: F.substring(hex_of(word), i, 2)),
+        F.regexp_extract_all(digits, F.lit(".."), F.lit(0)),
         lambda p: _bind(
             F.struct(p.alias("p"), F.when(F.size(p) > 1, F.transform(F.slice(p, 1, F.size(p) - 1), lambda a, i: pair(a, F.get(p, i + 1)))).otherwise(none).alias("r")),
             lambda s: state(s["p"], s["r"]),
@@ -95,7 +140,7 @@ def merge_word(word: Column, ranks: Column) -> Column:
         pairs = F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r)))
         return F.when(at == 0, acc).otherwise(_bind(F.struct(merged.alias("p"), pairs.alias("r")), lambda s: state(s["p"], s["r"])))
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1))), start, step)
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest((F.length(digits) / 2).cast("int"), F.lit(1))), start, step)
     return F.transform(folded["p"], lambda x: rank_of(x, ranks))
 
 
@@ -104,29 +149,49 @@ def ranks_column(path: str = VOCABULARY) -> Column:
 
 
 def dictionary(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(word, ids) for the distinct words of a column ``word``."""
-    ranks = ranks_column(path)
-    once = words.select("word").where("word IS NOT NULL").distinct()
-    return once.select("word", _bind(ranks, lambda r: merge_word(F.col("word"), r)).alias("ids"))  # the map is in the plan once
+    """(word, ids) for the distinct words of a column ``word``.
 
+    Words are dealt to as many tasks as there are cores, as the work on them isn't told by their bytes.
+    """
+    spark = words.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    once = words.select("word").where("word IS NOT NULL").distinct().repartition(n, "word")
+    cut = once.select("word", _bind(F.expr(_pairs_sql(path)), lambda p: segments(F.col("word"), p)).alias("__s"))
+    return cut.select("word", _bind(ranks_column(path), lambda r: F.flatten(F.transform("__s", lambda s: merge_word(s, r)))).alias("ids"))  # the map is in the plan once
 
-def encode(docs: DataFrame, text: str = "text", path: str = VOCABULARY, out: str = "ids") -> DataFrame:
-    """``docs`` with the list of ids of each text.
+
+def encode(docs: DataFrame, text: str = "text", path: str = VOCABULARY, out: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (of its columns only ``keep``, if given) with the list of ids of each text.
 
     Null, empty texts: the empty list. Every row comes back once, repeated rows too; nothing is cut off.
-    Distinct words that are no entry are shuffled once for each text they occur in, with the text's hash;
-    should hashes of two texts agree, both find all of their words all the same.
+    A row's words are cut and looked up once and kept as ids, with nulls where a word is no entry, and a list of
+    those words. Rows without such words are done. The others get a number, which is unique whatever the rows
+    repeat; their missing words go to the dictionary under that number, and the ids come back in order.
     """
-    ranks = ranks_column(path)
-    keyed = docs.withColumn("__k", F.xxhash64(F.col(text)))
-    once = keyed.select("__k", F.array_distinct(words_of(F.col(text))).alias("__w"))
-    missing = once.select("__k", F.explode(F.filter("__w", lambda w: rank_of(hex_of(w), ranks).isNull())).alias("word")).distinct()
-    missing = stored(missing, "missing-words")
-    found = salted_lookup(missing, dictionary(missing, path), "word", F.col("__k"), 8, "inner")
-    maps = found.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("__more"))
-    both = salted_lookup(keyed, maps, "__k", F.xxhash64(*[c for c in docs.columns if c != text][:1] or [F.lit(0)]), 2)
-    ids = F.flatten(F.transform(words_of(F.col(text)), lambda w: _bind(rank_of(hex_of(w), ranks), lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(F.col("__more")[w]))))
-    return both.withColumn(out, ids).drop("__k", "__more")
+    names = list(docs.columns if keep is None else keep)
+    found = F.transform(words_of(F.col(text)), lambda w: F.struct(rank_of(w, F.expr(_words_sql(path)), WORD_BUCKETS).alias("i"), w.alias("w")))
+    parts = _bind(found, lambda p: F.struct(F.transform(p, lambda x: x["i"]).alias("ids"), F.transform(F.filter(p, lambda x: x["i"].isNull()), lambda x: x["w"]).alias("missing")))
+    looked = docs.select(*names, parts.alias("__p")).select(*names, F.col("__p.ids").alias("__ids"), F.col("__p.missing").alias("__missing"), F.monotonically_increasing_id().alias("__row"))
+    looked = stored(looked, "words")
+    plain = looked.where(F.size("__missing") == 0).select(*names, F.col("__ids").alias(out))
+    rest = looked.where(F.size("__missing") > 0)
+    asked = rest.select("__row", F.posexplode("__missing").alias("__at", "word"))
+    told = salted_lookup(asked, dictionary(asked, path), "word", F.xxhash64("__row", "__at"), 8, "inner")
+    more = told.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "ids"))), lambda x: x["ids"]).alias("__more"))
+    return plain.unionByName(rest.join(more, "__row").select(*names, filled(F.col("__ids"), F.col("__more")).alias(out)))
+
+
+def filled(ids: Column, more: Column) -> Column:
+    """``ids`` with its nulls replaced, in order, by the lists of ``more``; linear in the length."""
+    holes = F.filter(F.transform(ids, lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull())
+
+    def assembled(h: Column) -> Column:
+        begin = lambda j: F.when(j > 0, F.get(h, j - 1) + 1).otherwise(F.lit(0))
+        pieces = F.transform(more, lambda m, j: F.concat(F.slice(ids, begin(j) + 1, F.get(h, j) - begin(j)), m))
+        tail = F.slice(ids, F.element_at(h, -1) + 2, F.size(ids))
+        return F.flatten(F.concat(pieces, F.array(tail)))
+
+    return _bind(holes, assembled)
 
 
 def decode(ids: Column, path: str = VOCABULARY) -> Column:
@@ -137,18 +202,7 @@ def decode(ids: Column, path: str = VOCABULARY) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")), "UTF-8")
 
 
-def source_sizes(docs: DataFrame, group: str = "source", text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """(group, tokens): the number of ids of all texts of each group, every row counting; null groups are left out.
-
-    Words are counted by group before any shuffle, so the length of texts and repeats don't matter.
-    """
-    ranks = ranks_column(path)
-    words = docs.where(F.col(group).isNotNull()).select(F.col(group), F.explode(words_of(F.col(text))).alias("word"))
-    counted = words.groupBy(group, "word").agg(F.count(F.lit(1)).alias("n"))
-    known = stored(counted.withColumn("__id", rank_of(hex_of(F.col("word")), ranks)), "word-counts")
-    plain = known.where("__id IS NOT NULL").select(group, F.col("n").alias("tokens"))
-    other = known.where("__id IS NULL").select(group, "word", "n")
-    sized = dictionary(other, path).select("word", F.size("ids").alias("__t"))
-    long_ = other.join(sized, "word").select(group, (F.col("n") * F.col("__t")).alias("tokens"))
-    none = docs.where(F.col(group).isNotNull()).select(group).distinct().withColumn("tokens", F.lit(0).cast("long"))
-    return plain.unionByName(long_).unionByName(none).groupBy(group).agg(F.sum("tokens").alias("tokens"))
+def counted(docs: DataFrame, text: str = "text", path: str = VOCABULARY, out: str = "tokens", keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` without its text and with the number of its ids, written to the shared folder, so that the corpus is read once."""
+    names = [c for c in docs.columns if c not in (text, out)] if keep is None else list(keep)
+    return stored(encode(docs, text, path, "__done", names).select(*names, F.size("__done").alias(out)), "tokens")

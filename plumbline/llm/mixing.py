@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.pivotal import round_groups
+from plumbline.llm.pivotal import dealt, round_groups
+from plumbline.session import stored
 
 
 def plan(targets: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -28,16 +29,30 @@ def mix(docs: DataFrame, planned: DataFrame, seed: int = 11) -> DataFrame:
 
     Every text of a source gets the whole copies of its rate; the fractions are rounded by the pivotal method
     inside each mix and source, so that the number of extra copies is right to the unit and never above the cap.
+    Texts duel with texts of about their own length, so that the tokens are met closely, too. Texts are shuffled
+    once, into slices; there they meet the mixes, whose table is small.
     """
-    parts = docs.join(planned.where("rate > 0").select("mix_id", "source", "rate"), "source")
-    parts = parts.withColumn("whole", F.floor("rate").cast("int")).withColumn("part", F.col("rate") - F.floor("rate"))
-    rounded = round_groups(parts, ["mix_id", "source"], "part", ["doc_id"], seed)
+    asked = stored(planned.where("rate > 0").select("mix_id", "source", "rate"), "mixes")
+    parts = dealt(docs.select("doc_id", "source", "tokens"), ["doc_id"], seed).join(asked, "source")
+    parts = parts.select("mix_id", "source", "doc_id", "tokens", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"), "__slice")
+    rounded = round_groups(parts, ["mix_id", "source"], "part", ["doc_id"], seed, balance="tokens")
     return rounded.select("mix_id", "source", "doc_id", "tokens", (F.col("whole") + F.col("up")).alias("copies")).where("copies > 0")
 
 
 def shares(mixed: DataFrame, planned: DataFrame) -> DataFrame:
-    """Tokens and share that every source reached in every mix, beside what was asked."""
+    """Tokens and share that every source reached in every mix, beside what was asked.
+
+    ``full`` tells that the source is used up: its tokens are those of all its texts, each as often as the cap
+    allows. A source without texts, or with a cap of 0, is used up from the start.
+    """
     got = mixed.groupBy("mix_id", "source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("tokens"))
     total = got.groupBy("mix_id").agg(F.sum("tokens").alias("__all"))
-    full = planned.join(got, ["mix_id", "source"], "left").join(total, "mix_id", "left")
-    return full.select("mix_id", "source", "target_weight", "unmet", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.when(F.col("__all") > 0, F.coalesce("tokens", F.lit(0)) / F.col("__all")).otherwise(F.lit(0.0)).alias("share"))
+    full = planned.join(got, ["mix_id", "source"], "left").join(total, "mix_id", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    share = F.when(F.col("__all") > 0, F.col("tokens") / F.col("__all")).otherwise(F.lit(0.0))
+    used = F.col("tokens") >= F.coalesce(F.col("max_repeats"), F.lit(0)) * F.col("size")
+    return full.select("mix_id", "source", "target_weight", "wanted", "given", "unmet", "tokens", share.alias("share"), used.alias("full"))
+
+
+def shortfalls(mixed: DataFrame, planned: DataFrame) -> DataFrame:
+    """(mix_id, source) that the mix could not fill: used up, and still below what was asked."""
+    return shares(mixed, planned).where("full AND wanted > tokens").select("mix_id", "source")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut
+from plumbline.session import stored
 
 CLOSE = 1e-9
+#: Slices of the first round and how many of them meet in the next; like the seed, they are part of what a draw is.
+SLICES, FAN, BUCKETS = 1024, 32, 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)  # fixed values: the mixing constants of splitmix64
 
 
@@ -54,47 +55,76 @@ def duel(group: np.ndarray, p: np.ndarray, key: np.ndarray, salt: int) -> np.nda
         turn += 1
 
 
-def _player(seed: int, level: int, last: bool):
-    """Duels of one slice on one level of the tree."""
+def dealt(df: DataFrame, ident: Sequence[str], seed: int, slices: int = SLICES) -> DataFrame:
+    """``df`` shuffled into ``__slice``, a hash of the columns that name a unit.
 
-    def play(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__g", "__u"], kind="stable", ignore_index=True)
-        key = pdf["__u"].to_numpy()
-        p = duel(pdf["__g"].to_numpy(), pdf["__p"].to_numpy(), key, seed * 16 + level)
+    Units that are multiplied afterwards (once for each plan or mix) by a join with a small table keep this
+    layout, so ``round_groups`` needs no shuffle of the multiplied rows.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.withColumn("__slice", F.pmod(F.xxhash64(F.lit(seed), *ident), F.lit(slices)).cast("int")).repartition(n, "__slice")
+
+
+def _player(salt: int, last: bool, losers: bool):
+    """Duels of one slice in one round of the tree."""
+
+    def play(table: pa.Table) -> pa.Table:
+        g, u, b, p = (table[c].to_numpy() for c in ("__g", "__u", "__b", "__p"))
+        order = np.lexsort((u, b, g))
+        g, u, p = g[order], u[order], p[order]
+        first = np.r_[True, (g[1:] != g[:-1]) | (u[1:] != u[:-1])][: len(g)]  # repeated rows are one unit
+        q = duel(g[first], p[first], u[first], salt)
         if last:
-            p = np.where((p > 0) & (p < 1), (_uniform(key, seed * 16 + 15) < p).astype(float), p)
-        return pdf.assign(__p=p)
+            q = np.where((q > 0) & (q < 1), (_uniform(u[first], salt + 15) < q).astype(float), q)
+        p = q[np.cumsum(first) - 1]
+        out = table.take(pa.array(order)).set_column(table.column_names.index("__p"), "__p", pa.array(p, pa.float64()))
+        return out if losers else out.filter(pa.array(p > 0))
 
     return play
 
 
-def round_groups(df: DataFrame, groups: Sequence[str], part: str, ident: Sequence[str], seed: int, slice_rows: int = 200_000, fan: int = 8) -> DataFrame:
+def round_groups(df: DataFrame, groups: Sequence[str], part: str, ident: Sequence[str], seed: int, balance: str | None = None, outer: Sequence[str] = (), losers: bool = True, slices: int = SLICES, fan: int = FAN) -> DataFrame:
     """``df`` with ``up``, 0 or 1 for each row: the column ``part`` in [0, 1] rounded by the pivotal method.
 
     In every group of ``groups`` the rounded sum is the sum of the parts, rounded to one of the two integers
-    beside it, and each row's expectation is its part. Rows are dealt to slices by a hash of ``ident`` (which
-    names a row in its group), duelled inside their slice, and the one unit a slice leaves open goes on with
-    those of ``fan`` slices to the next level of a tree, until one slice is left; no task gets a whole group,
-    and the outcome doesn't depend on partitions. The last open unit is drawn by its own fraction. Null parts
-    count as 0; rows that agree in groups and ident share one result.
+    beside it, and each row's expectation is its part. Rows are dealt to a fixed number of slices by a hash of
+    ``ident`` (which names a row in its group) and duelled inside their slice; the one unit of a group that a
+    slice leaves open goes on with those of ``fan`` slices to the next round of a tree, until one slice is left.
+    No task gets a whole group, and a unit's draw depends neither on partitions nor on the number of rows.
+    Units meet in the order of ``balance`` (a number; nulls count as 0), so that mass moves between units of
+    about the same size and sums of that number are met closely, too; without it they meet in the order of a hash.
+    What is open in the end is duelled once more inside ``outer``, whose sums so stay right to one unit, and the
+    last open unit is drawn by its own fraction. Null parts count as 0; rows that agree in groups and ident share
+    one result. ``losers`` false leaves out rows that are not taken. An empty table gives none.
     """
-    names = [*groups, *ident]
-    rows = df.select(*names, F.coalesce(F.col(part).cast("double"), F.lit(0.0)).alias("__p")).groupBy(*names).agg(F.max("__p").alias("__p"))
-    rows = rows.withColumn("__g", F.xxhash64(*groups)).withColumn("__u", F.xxhash64(F.lit(seed), *names))
-    rows = cut(rows)
-    slices = max(1, math.ceil(rows.count() / slice_rows))
-    done, level = [], 0
-    while True:
-        dealt = rows.withColumn("__s", F.pmod(F.shiftright("__u", 8), F.lit(slices)))
-        played = cut(dealt.groupBy("__s").applyInPandas(_player(seed, level, slices == 1), dealt.schema)).drop("__s")
+    names = df.columns
+    if "__slice" not in names:
+        df = dealt(df, ident, seed, slices)
+    keep = [c for c in names if c != "__slice"]
+    weight = F.coalesce(F.col(balance).cast("double"), F.lit(0.0)) if balance else F.lit(0.0)
+    rows = df.select(
+        *keep, "__slice", F.coalesce(F.col(part).cast("double"), F.lit(0.0)).alias("__p"), F.xxhash64(*groups).alias("__g"),
+        F.xxhash64(F.lit(seed), *groups, *ident).alias("__u"), weight.alias("__b"))
+    tree = [slices]
+    while tree[-1] > 1:
+        tree.append(max(1, tree[-1] // fan))
+    rounds = [*tree, *([0] if outer else [])]  # 0: the units still open meet inside the outer groups
+    done = []
+    for level, n in enumerate(rounds):
+        task = "__slice"
+        if level:
+            task = "__task"
+            if n:
+                at = F.pmod("__slice", F.lit(n)) * BUCKETS
+            else:
+                rows, at = rows.withColumn("__g", F.xxhash64(*outer)), F.lit(0)
+            rows = rows.withColumn(task, (at + F.pmod("__g", F.lit(BUCKETS))).cast("int"))
+        play = _player(seed * 1024 + level * 16, level == len(rounds) - 1, losers)
+        played = stored(rows.groupBy(task).applyInArrow(play, rows.schema), "pivotal").drop("__task")
         done.append(played.where("__p IN (0, 1)"))
         rows = played.where("__p NOT IN (0, 1)")
-        if slices == 1:
-            break
-        slices, level = max(1, slices // fan), level + 1
-    ups = done[0]
+    out = done[0]
     for x in done[1:]:
-        ups = ups.unionByName(x)
-    ups = ups.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(names)], F.col("__p").cast("int").alias("up"))
-    on = [F.col(f"__d.{c}").eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(names)]
-    return df.alias("__d").join(ups, on, "left").drop(*[f"__k{i}" for i in range(len(names))])
+        out = out.unionByName(x)
+    return out.select(*keep, F.col("__p").cast("int").alias("up"))

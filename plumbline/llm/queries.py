@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import encode, handwritten, mixing, spam, splits, stable, syntax, targets, topn
-from plumbline.session import cut
+from plumbline.session import stored
 from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +53,7 @@ def p6_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of every document's text."""
-    return encode.encode(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "ids").distinct()
+    return encode.encode(table(spark, folder, "documents", "doc_id", "text"), keep=["doc_id"])
 
 
 def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,20 +62,17 @@ def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return done.where(encode.decode(F.col("ids")) != F.coalesce("text", F.lit(""))).select("doc_id")
 
 
-def _mix_plan(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = encode.source_sizes(table(spark, folder, "documents", "source", "text"))
-    return mixing.plan(table(spark, folder, "mix_targets"), sizes)
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The mixes and what was planned for them; the corpus is encoded once, for its lengths."""
+    docs = encode.counted(table(spark, folder, "documents", "doc_id", "source", "text").where("source IS NOT NULL"))
+    sizes = docs.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    planned = stored(mixing.plan(table(spark, folder, "mix_targets"), sizes), "mix-plan")
+    return mixing.mix(docs, planned), planned
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Targets that their source cannot fill within its cap."""
-    return _mix_plan(spark, folder).where("unmet").select("mix_id", "source").distinct()
-
-
-def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    docs = encode.encode(table(spark, folder, "documents", "doc_id", "source", "text").where("source IS NOT NULL"))
-    planned = cut(_mix_plan(spark, folder))
-    return mixing.mix(docs.select("doc_id", "source", F.size("ids").alias("tokens")), planned), planned
+    """Targets that the finished mix could not fill: every text of the source is in it as often as allowed, and tokens are wanting."""
+    return mixing.shortfalls(*_mixed(spark, folder)).distinct()
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,16 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.pivotal import round_groups
+from plumbline.llm.pivotal import dealt, round_groups
 from plumbline.llm.topn import classed
-from plumbline.operators.rank import spread_rank
-from plumbline.session import cut
+from plumbline.session import stored
 from plumbline.sources.tables import table
 
-ANY = "\u0000any"
-SLICES = 16
-
-
 def tilt(have: np.ndarray, want: np.ndarray, steps: int = 50, near: float = 1e-10) -> np.ndarray:
     """Weights exp(lambda) that make the category moments ``have`` equal ``want``, by Newton steps on the dual.
 
@@ -34,25 +29,47 @@ def tilt(have: np.ndarray, want: np.ndarray, steps: int = 50, near: float = 1e-1
     return np.where(open_, np.exp(lam), 0.0)
 
 
+def goals(target: np.ndarray, floor: np.ndarray, total: float) -> np.ndarray:
+    """What a sample of ``total`` should hold of each category: its target, or its floor where that is greater.
+
+    Floors are an active set: categories whose part of what is left falls below their floor are fixed there, the
+    others divide the rest in proportion to their targets, until no further one falls below. If the floors alone
+    reach the total, the others get nothing.
+    """
+    fixed = np.zeros(len(target), bool)
+    while True:
+        free = ~fixed
+        rest, asked = max(total - floor[fixed].sum(), 0.0), target[free].sum()
+        goal = np.where(fixed, floor, target * (rest / asked if asked > 0 else 0.0))
+        low = free & (goal < floor)
+        if not low.any():
+            return goal
+        fixed |= low
+
+
 def calibrate(moments: DataFrame, keys: str = "plan_id long") -> DataFrame:
     """The report of each plan: what every category should and can give.
 
     ``moments``: rows (plan, category ``vuln_class``, ``available``, ``target`` = share x total, ``floor``).
-    Adds ``wanted`` (the greater of target and floor), ``probability`` of a unit (the tilt, at most 1 and at
-    least what the floor needs), ``drawn`` (expected size) and ``unmet``, true where fewer units are available
-    than wanted. Plans are independent groups of a few categories each. Null availability counts as none, a
-    null target or floor as 0.
+    The dual is solved twice. First for what is asked, ``wanted`` = the greater of target and floor: a category
+    that would need a weight above 1 (or has nothing) cannot give it, which is ``unmet`` after an exact check of
+    the numbers. Then for what is drawn: the ``goal`` of each category (see ``goals``; the total is the sum of the
+    plan's targets, rounded), of which a category gives all it has at most; the other categories don't make up
+    for it, so their shares of the total stay. Its weights are the ``probability`` of a unit, ``drawn`` is the
+    expected number. Plans are independent groups of a few categories each. Null availability counts as none,
+    a null target or floor as 0.
     """
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        have = rows["available"].fillna(0).to_numpy(float)
-        goal = np.maximum(rows["target"].fillna(0).to_numpy(float), rows["floor"].fillna(0).to_numpy(float))
-        unmet = have < goal
-        weight = tilt(have, np.minimum(goal, have))
-        p = np.minimum(weight, 1.0)
-        return rows.assign(available=have.astype("int64"), wanted=goal, probability=p, drawn=p * have, unmet=unmet)
+        have, target, floor = (rows[c].fillna(0).to_numpy(float) for c in ("available", "target", "floor"))
+        wanted = np.maximum(target, floor)
+        needed = np.where(have > 0, tilt(have, wanted), np.where(wanted > 0, np.inf, 0.0))
+        unmet = (needed > 1 - 1e-6) & (have < wanted)
+        goal = goals(target, floor, float(round(target.sum())))
+        p = np.minimum(tilt(have, np.minimum(goal, have)), 1.0)
+        return rows.assign(available=have.astype("int64"), wanted=wanted, goal=goal, probability=p, drawn=p * have, unmet=unmet)
 
     name = keys.split()[0]
-    schema = f"{keys}, vuln_class string, available long, target double, floor double, wanted double, probability double, drawn double, unmet boolean"
+    schema = f"{keys}, vuln_class string, available long, target double, floor double, wanted double, goal double, probability double, drawn double, unmet boolean"
     return moments.groupBy(name).applyInPandas(one, schema)
 
 
@@ -95,25 +112,17 @@ def report(plans: DataFrame, counts: DataFrame) -> DataFrame:
 def drawn(spark, folder: str, seed: int = 7) -> DataFrame:
     """(plan_id, vuln_class, finding_id): the sample of every plan.
 
-    All units of a class have the same probability, so pivotal rounding can run over slices of units instead of
-    single ones: each cell is cut into slices by a hash, the expected number of a slice is rounded by the
-    pivotal method (slices of a plan's class exchange mass until all are whole), and of a slice that many
-    findings are taken from a place on, which differs from plan to plan, in the order of a hash. Findings are
-    ranked once, not once for every plan. The slices number at most tools x classes x 2 x plans x a constant.
+    Every unit that a plan may draw has its calibrated probability, and the pivotal method rounds the units: in
+    slices by a hash, then over a tree, inside the plan's class first and at last inside the plan. So a class
+    gives its goal to one unit, the plan its total to one. Units are shuffled once, into their slices; there they
+    meet the plans, whose table is small (the optimiser checks its size), and only units taken or still open
+    leave the slice.
     """
-    found = units(spark, folder).withColumn("slice", F.pmod(F.xxhash64("finding_id", F.lit(seed)), F.lit(SLICES)).cast("int"))
-    found = cut(found)
+    found = stored(units(spark, folder), "units")
     plans = plans_of(spark, folder)
-    told = report(plans, cells(found)).select("plan_id", "vuln_class", "probability", "wanted")
-    slices = found.groupBy("tool", "study", "cls", "slice").agg(F.count(F.lit(1)).alias("n"))
-    parts = reach(plans, slices).select("plan_id", "vuln_class", "cell_tool", "study", "slice", "n").join(told, ["plan_id", "vuln_class"])
-    parts = parts.withColumn("size", F.least(F.col("probability") * F.col("n"), F.col("n").cast("double")))
-    parts = parts.withColumn("whole", F.floor(F.col("size") + 1e-9)).withColumn("part", F.greatest(F.col("size") - F.col("whole"), F.lit(0.0)))
-    rounded = round_groups(parts, ["plan_id", "vuln_class"], "part", ["cell_tool", "study", "slice"], seed)
-    rounded = rounded.withColumn("take", F.least(F.col("whole") + F.col("up"), F.col("n"))).where("take > 0")
-    rounded = rounded.withColumn("start", F.pmod(F.xxhash64("plan_id", "cell_tool", "study", "slice", F.lit(seed)), F.col("n")))
-    cell = ["cell_tool", "study", "cls", "slice"]
-    placed = spread_rank(found.withColumn("cell_tool", F.coalesce("tool", F.lit(ANY))), cell, F.xxhash64(F.lit(seed), "finding_id"), "place", tie=["finding_id"])
-    wants = rounded.select("plan_id", "vuln_class", F.coalesce("cell_tool", F.lit(ANY)).alias("cell_tool"), "study", F.col("vuln_class").alias("cls"), "slice", "n", "take", "start")
-    both = placed.select("finding_id", "place", *cell).join(wants, cell)
-    return both.where(F.pmod(F.col("place") - 1 - F.col("start"), F.col("n")) < F.col("take")).select("plan_id", "vuln_class", "finding_id")
+    told = report(plans, cells(found)).where("probability > 0").select("plan_id", "vuln_class", "probability")
+    asked = stored(plans.select("plan_id", "vuln_class", "frame", F.col("tool").alias("asked_tool")).join(told, ["plan_id", "vuln_class"]).distinct(), "plans")
+    may = (F.col("cls") == F.col("vuln_class")) & (F.col("asked_tool").isNull() | (F.col("asked_tool") == F.col("tool"))) & ((F.col("frame") == "all") | F.col("study"))
+    parts = dealt(found, ["finding_id"], seed).join(asked, may).select("plan_id", "vuln_class", "finding_id", "probability", "__slice")
+    rounded = round_groups(parts, ["plan_id", "vuln_class"], "probability", ["finding_id"], seed, outer=["plan_id"], losers=False)
+    return rounded.where("up = 1").select("plan_id", "vuln_class", "finding_id")

@@ -124,7 +124,32 @@ def test_calibrate_floors_and_gaps(spark):
     rows = [(1, "a", 100, 30.0, 5.0), (1, "b", 4, 10.0, 0.0), (1, "c", None, 1.0, 2.0), (1, "d", 50, 0.5, 8.0), (1, "e", 7, None, None)]
     got = {r.vuln_class: r for r in targets.calibrate(spark.createDataFrame(rows, "plan_id long, vuln_class string, available long, target double, floor double")).collect()}
     assert {k for k, r in got.items() if r.unmet} == {"b", "c"}
-    assert round(got["a"].drawn, 6) == 30 and got["b"].drawn == 4 and round(got["d"].drawn, 6) == 8 and got["e"].drawn == 0
+    # of 42 the floors fix c at 2 and d at 8; a and b share the other 32 by 30 to 10, and b gives the 4 it has
+    assert round(got["a"].drawn, 6) == 24 and got["b"].drawn == 4 and round(got["d"].drawn, 6) == 8 and got["e"].drawn == 0 and got["c"].goal == 2
+
+
+def test_goals_keep_the_total():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        target, floor = r.dirichlet(np.ones(10)) * 500, r.integers(0, 60, 10).astype(float)
+        goal = targets.goals(target, floor, 500)
+        assert (goal >= floor - 1e-9).all() and abs(goal.sum() - max(500, floor.sum())) < 1e-6
+        free = goal > floor + 1e-9
+        assert np.ptp(goal[free] / target[free]) < 1e-9 if free.sum() > 1 else True
+    assert np.allclose(targets.goals(np.zeros(2), np.array([3.0, 0]), 0), [3, 0])
+
+
+def test_samples_keep_totals_and_shares(spark, small):
+    told = targets.report(targets.plans_of(spark, small), targets.cells(targets.units(spark, small))).toPandas()
+    drawn = targets.drawn(spark, small).toPandas()
+    assert not drawn.duplicated(["plan_id", "finding_id"]).any() and told.plan_id.nunique() == 40
+    n = drawn.groupby(["plan_id", "vuln_class"]).size()
+    told["n"] = [n.get((r.plan_id, r.vuln_class), 0) for r in told.itertuples()]
+    assert ((told.n - told.drawn).abs() < 1).all()
+    sums = told.groupby("plan_id").agg(n=("n", "sum"), drawn=("drawn", "sum"), goal=("goal", "sum"), unmet=("unmet", "any"), floors=("floor", "sum"), target=("target", "sum"))
+    assert ((sums.n - sums.drawn).abs() < 1).all()
+    whole = sums[~sums.unmet]
+    assert len(whole) >= 2 and ((whole.n - whole[["target", "floors"]].max(axis=1)).abs() <= 1).all()
 
 
 def test_duels_keep_sums_and_expectations():
@@ -140,11 +165,34 @@ def test_duels_keep_sums_and_expectations():
 
 
 def test_round_groups_over_slices(spark):
-    df = spark.range(3000).select((F.col("id") % 3).alias("g"), "id", F.lit(0.37).alias("part"))
-    got = {r.g: r.n for r in round_groups(df, ["g"], "part", ["id"], 5, slice_rows=100).groupBy("g").agg(F.sum("up").alias("n")).collect()}
-    assert all(n in (369, 370, 371) for n in got.values())
-    again = round_groups(df.repartition(9), ["g"], "part", ["id"], 5, slice_rows=100)
-    assert again.exceptAll(round_groups(df, ["g"], "part", ["id"], 5, slice_rows=100)).count() == 0
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), "id", F.lit(0.37).alias("part"), F.lit("clash").alias("up_"))
+    for slices, fan in ((1, 4), (64, 4), (1024, 32)):
+        done = round_groups(df, ["g"], "part", ["id"], 5, slices=slices, fan=fan)
+        got = {r.g: r.n for r in done.groupBy("g").agg(F.sum("up").alias("n")).collect()}
+        assert set(got) == {0, 1, 2} and all(n in (369, 370, 371) for n in got.values()) and done.count() == 3000
+    again = round_groups(df.repartition(9), ["g"], "part", ["id"], 5)
+    assert again.exceptAll(round_groups(df, ["g"], "part", ["id"], 5)).count() == 0
+    assert round_groups(df.limit(0), ["g"], "part", ["id"], 5).count() == 0
+
+
+def test_round_groups_repeats_nulls_and_outer_sums(spark):
+    rows = spark.range(400).select(F.lit(1).alias("plan"), (F.col("id") % 7).alias("g"), "id", F.lit(0.3).alias("part"))
+    odd = spark.createDataFrame([(1, 0, 1000, None), (1, 1, 1001, 1.0), (1, 1, 1002, 0.0)], "plan int, g long, id long, part double")
+    done = round_groups(rows.unionByName(rows.where("id < 50")).unionByName(odd), ["g"], "part", ["id"], 3, outer=["plan"]).collect()
+    assert len(done) == 453
+    ups = {}
+    for r in done:
+        assert ups.setdefault(r.id, r.up) == r.up
+    assert ups[1000] == 0 and ups[1001] == 1 and ups[1002] == 0 and sum(ups.values()) == 400 * 0.3 + 1
+    only = round_groups(rows, ["g"], "part", ["id"], 3, outer=["plan"], losers=False)
+    assert only.where("up = 0").count() == 0 and only.count() == 120
+
+
+def test_balanced_rounding_meets_sizes(spark):
+    df = spark.range(4000).select(F.lit(1).alias("g"), "id", F.lit(0.5).alias("part"), (F.pmod(F.xxhash64("id"), F.lit(1000)) + 1).cast("int").alias("size"))
+    whole = df.agg(F.sum("size")).first()[0] / 2
+    gap = lambda b: abs(round_groups(df, ["g"], "part", ["id"], 2, balance=b, slices=16, fan=4).agg(F.sum(F.col("up") * F.col("size"))).first()[0] - whole)
+    assert gap("size") < 0.003 * whole
 
 
 def test_mixing(spark):
@@ -157,3 +205,16 @@ def test_mixing(spark):
     got = {(r.mix_id, r.source): r for r in mixing.shares(mixed, planned).collect()}
     assert abs(got[1, "big"].tokens - 2000) <= 10 and got[1, "small"].tokens == 2000 and got[2, "small"].tokens == 1000 and got[2, "none"].tokens == 0
     assert mixed.agg(F.max("copies")).first()[0] <= 3
+    assert {(r.mix_id, r.source) for r in mixing.shortfalls(mixed, planned).collect()} == {(2, "small"), (2, "none")}
+
+
+def test_mixes_meet_their_shares(spark, small):
+    from plumbline.llm.queries import QUERIES, _mixed
+
+    mixed, planned = _mixed(spark, small)
+    largest = {r.source: r.t for r in mixed.groupBy("source").agg(F.max("tokens").alias("t")).collect()}
+    rows = mixing.shares(mixed, planned).collect()
+    assert all(abs(r.tokens - r.given) <= 2 * largest.get(r.source, 0) for r in rows)
+    assert {(r.mix_id, r.source) for r in rows if r.unmet} == {tuple(r) for r in QUERIES["p8_found"](spark, small).collect()}
+    caps = planned.select("mix_id", "source", "max_repeats")
+    assert mixed.join(caps, ["mix_id", "source"]).where("copies > max_repeats").count() == 0
