@@ -155,7 +155,8 @@ def dictionary(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """
     spark = words.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    once = words.select("word").where("word IS NOT NULL").distinct().repartition(n, "word")
+    # by "word" itself this would be taken for the aggregate's own shuffle, whose small partitions are joined again
+    once = words.select("word").where("word IS NOT NULL").distinct().repartition(n, F.xxhash64("word"))
     cut = once.select("word", _bind(F.expr(_pairs_sql(path)), lambda p: segments(F.col("word"), p)).alias("__s"))
     return cut.select("word", _bind(ranks_column(path), lambda r: F.flatten(F.transform("__s", lambda s: merge_word(s, r)))).alias("ids"))  # the map is in the plan once
 
