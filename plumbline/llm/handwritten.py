@@ -31,6 +31,12 @@ NOTICES = (
 UNSPACED = re.compile(r"[\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 LOCKFILES = re.compile(r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|composer\.lock|gemfile\.lock|poetry\.lock|cargo\.lock)$")
 
+#: Directories that package managers fill, and suffixes that minifiers give.
+VENDORED = re.compile(r"(?:^|/)(?:vendor|node_modules|bower_components|third[-_]?party)/")
+SHRUNK = re.compile(r"[.-]min\.\w+$|\.(?:bundle|pack)\.js$")
+#: The header that makes a file the main file of a plugin.
+OWN = re.compile(r"(?im)^[ \t/*#@]*Plugin Name:")
+
 WORD = re.compile(r"\w+")
 COMMENT = re.compile(r"/\*.*?\*/|<!--.*?-->|(?<![:'\"\w])(?://|#)[^\n]*", re.S)
 HEADER = re.compile(r"﻿?\s*(?:<\?(?:php|=)?)?\s*((?:(?:/\*.*?(?:\*/|\Z)|//[^\n]*|#(?!\[)[^\n]*|<!--.*?(?:-->|\Z))\s*)+)", re.S)
@@ -139,13 +145,30 @@ def counted(text: str) -> bool:
     return len(numbers) >= 10 and steps >= 0.9 * (len(numbers) - 1) and len(numbers) >= 0.7 * text.count("\n")
 
 
-def kind(text: str, path: str, library: Library, automaton: ahocorasick.Automaton) -> str | None:
+def path_mark(path: str | None) -> str:
+    """What a path says on its own: lockfile, vendored (a package manager's directory), minified (a minifier's suffix), json, css, or nothing."""
+    name = (path or "").lower().replace("\\", "/")
+    end = name.rsplit(".", 1)[-1]
+    marks = [k for k, rule in (("lockfile", LOCKFILES), ("vendored", VENDORED), ("minified", SHRUNK)) if rule.search(name)]
+    return " ".join([*marks, *([end] if end in ("json", "css") else [])])
+
+
+def laid_out(text: str) -> bool:
+    """Whether the text is set in lines and blanks, as people write."""
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
+    return len(lines) >= 4 and max(map(len, lines)) <= 0.4 * len(text) and sum(map(str.isspace, text)) >= 0.12 * len(text)
+
+
+def kind(text: str, path: str | None, library: Library, automaton: ahocorasick.Automaton) -> str | None:
     """What makes the text no hand-written source: lockfile, binary, vendored, generated, minified or data; None if nothing does.
 
-    Costly patterns run only where counts of bytes show that they could apply.
+    The answer depends on the text and on ``path_mark`` of its path, on nothing else. A lockfile's name decides
+    alone. A package manager's directory or a minifier's suffix decides unless the text speaks against it: a
+    plugin's own main file is not vendored, a text set in lines and blanks is not minified. All else is told by
+    the text, of any length. Costly patterns run only where counts of bytes show that they could apply.
     """
-    name = (path or "").lower().replace("\\", "/")
-    if LOCKFILES.search(name):
+    mark = path_mark(path)
+    if "lockfile" in mark:
         return "lockfile"
     n, raw = len(text), text.encode("utf-8", "replace")
     size = max(len(raw), 1)
@@ -159,8 +182,10 @@ def kind(text: str, path: str, library: Library, automaton: ahocorasick.Automato
     head = HEADER.match(text)
     if head and noticed(head[1], automaton):
         return "generated"
-    if n < 200:
-        return None
+    if "vendored" in mark and n and not OWN.search(text):
+        return "vendored"
+    if "minified" in mark and n and not laid_out(text):
+        return "minified"
     blanks = (size - len(raw.translate(None, _BLANKS))) / size
     digits = (size - len(raw.translate(None, _DIGITS))) / size
     lines = [x for x in map(str.strip, text.split("\n")) if len(x) > 2]
@@ -176,13 +201,13 @@ def kind(text: str, path: str, library: Library, automaton: ahocorasick.Automato
                 return "data"
         if longest > 0.4 * n and sum(map(len, LETTERS.findall(plain))) < 160 and sum(len(x) for x in STRING.findall(code) if len(x) > 200) > 0.8 * n:
             return "data"
-        if not name.endswith(".json") and blanks < 0.15:
+        if "json" not in mark and blanks < 0.15:
             rest = plain.split("\n")
             total = sum(map(len, rest))
             dense = sum(len(x) for x in rest if len(x) > 200 and x.count(" ") + x.count("\t") < 0.09 * len(x))
-            if total > 300 and dense > 0.5 * total and sum(map(str.isspace, plain)) < 0.12 * total:
+            if dense > 0.5 * total and sum(map(str.isspace, plain)) < 0.12 * total:
                 return "minified"
-    if len(lines) >= 12 and not name.endswith((".css", ".json")):
+    if len(lines) >= 12 and "css" not in mark and "json" not in mark:
         top, part = repeated(lines)
         if part >= 0.75 and part * len(lines) >= 12:
             if "N, N, N" in top or "N,N,N" in top:
@@ -199,7 +224,8 @@ def kind(text: str, path: str, library: Library, automaton: ahocorasick.Automato
 def kinds(files: DataFrame, library: list[str]) -> DataFrame:
     """``files`` (path, content and any others) without content, and ``kind``: null for hand-written source.
 
-    The header's notices are found by one automaton for all phrases; copies by the share of five-word shingles
+    The header's notices are found by one automaton for all phrases; path rules tell lockfiles, package managers'
+    directories and minifiers' suffixes; copies are told by the share of five-word shingles
     (0.8 or more) that one library file holds, which a cut-off or slightly changed copy keeps; minified and data
     files by how their lines are filled, after comments and strings are taken out, so that one long literal
     in a hand-written file doesn't count. ``library``: the texts of the library's files, a small fixed table.
@@ -210,8 +236,8 @@ def kinds(files: DataFrame, library: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, automaton = Library(library), notices()
-        again = remembered(lambda text, path: kind(text, path, known, automaton))
+        again = remembered(lambda text, path: kind(text, path, known, automaton), path_mark)
         for b in batches:
-            yield b[keep].assign(kind=[None if t is None else again(t, p or "") for t, p in zip(b["content"], b["path"])])
+            yield b[keep].assign(kind=[None if t is None else again(t, p) for t, p in zip(b["content"], b["path"])])
 
     return files.select(*keep, "content").mapInPandas(run, f"{fields}, kind string")

@@ -110,8 +110,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_faults(spark: SparkSession, folder: str) -> DataFrame:
-    """What is wrong with them, and the language they are valid in, if any."""
-    return _judged(spark, folder).where("NOT valid OR fault IS NOT NULL").select("file_id", "claimed", "fault", "parses_as", "wrong")
+    """What is wrong with them, and the languages they are valid in."""
+    return _judged(spark, folder).where("NOT valid OR fault IS NOT NULL").select("file_id", "claimed", "fault", "parses_as", "wrong", "accepts")
+
+
+def p5_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Files by claimed language, the language they are read as, and all that accept them."""
+    return _judged(spark, folder).groupBy("claimed", "parses_as", "accepts").agg(F.count(F.lit(1)).alias("files"))
 
 
 def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,4 +138,4 @@ def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(spark, folder).select("doc_id", "slug", F.round("page", 4).alias("page"), F.round("host_rate", 4).alias("host_rate"), F.round("score", 4).alias("score"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_sample, p4_found, p4_kinds, p5_found, p5_faults, p5_rates, p6_found, p6_sample, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares, p9_found, p9_scores)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_sample, p4_found, p4_kinds, p5_found, p5_faults, p5_languages, p5_rates, p6_found, p6_sample, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares, p9_found, p9_scores)}

@@ -126,14 +126,14 @@ def fold_ternaries(text: str, pattern: re.Pattern = TERNARY) -> str:
     return text
 
 
-def remembered(f: Callable[[str, str], object], most: int = 4096, longest: int = 1 << 15) -> Callable[[str, str], object]:
-    """``f(text, name)`` that keeps its latest answers, as releases repeat each other's files; ``name`` counts by its ending."""
-    known: dict[tuple[str, str], object] = {}
+def remembered(f: Callable[[str, str], object], mark: Callable[[str], object] = lambda name: name, most: int = 4096, longest: int = 1 << 15) -> Callable[[str, str], object]:
+    """``f(text, name)`` that keeps its latest answers, as releases repeat each other's files; ``mark`` gives all of a name that the answer depends on."""
+    known: dict[tuple, object] = {}
 
     def again(text: str, name: str) -> object:
         if len(text) > longest:
             return f(text, name)
-        key = (text, name.rsplit(".", 1)[-1] if "lock" not in name else name)
+        key = (text, mark(name))
         if key not in known:
             if len(known) >= most:
                 known.clear()

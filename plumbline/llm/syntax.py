@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,12 +17,12 @@ ENDINGS = {"php": "php", "inc": "php", "phtml": "php", "js": "js", "json": "json
 #: Languages whose files are judged; the others only serve to recognise wrong endings.
 JUDGED = ("php", "js", "json")
 
-# Strings that are frequent in one language and rare in the others.
+# Tokens that are frequent in one language and rare in the others.
 HINTS = {
-    "php": re.compile(r"<\?php|<\?=|\$\w+|->|::|\bfunction\b|\becho\b"),
-    "js": re.compile(r"\b(?:var|let|const|function|return|window|document)\b|=>|===|\.\w+\("),
-    "json": re.compile(r"\"\s*:|^\s*[\[{]|[\]}]\s*$|\bnull\b"),
-    "css": re.compile(r"[\w-]+\s*:\s*[^;{}\n]+;|[.#][\w-]+[^;{}\n]*\{"),
+    "php": ("<?php", "<?=", "->", "::", " $", "($", "echo ", "function "),
+    "js": ("var ", "let ", "const ", "function(", "function ", "=>", "===", "window.", "document.", "return "),
+    "json": ('": ', '":', '{"', '["', "null,", "true,", "false,"),
+    "css": ("px;", "px ", "em;", "%;", ": #", ";}", "color:", "{display:", "margin", "padding", " {\n"),
 }
 
 
@@ -52,26 +51,26 @@ def parses(text: str, language: str) -> str | None:
 
 
 def ranked(text: str) -> list[str]:
-    """All languages, the one whose typical tokens are densest first."""
-    score = {k: sum(len(m) for m in p.findall(text)) for k, p in HINTS.items()}
+    """All languages, the one whose typical tokens fill most of the text first; ties in the order of the list."""
+    score = {k: sum(len(w) * text.count(w) for w in words) for k, words in HINTS.items()}
     return sorted(GRAMMARS, key=lambda k: -score[k])
 
 
-def judge(text: str, claimed: str | None) -> tuple[bool, str | None, str | None, str | None]:
-    """(valid, fault, language it is valid in, what is wrong) of one text.
+def judge(text: str, claimed: str | None) -> tuple[bool, str | None, str | None, str | None, list[str]]:
+    """(valid, fault, language it is read as, what is wrong, languages that accept it) of one text.
 
-    Every grammar is a candidate. That of the claimed language is asked first; if it accepts the text, no other
-    answer would matter. Else the others follow in the order of the text's tokens: the first to accept it tells
-    that the name is wrong, and if none does, the text is damaged.
+    The languages are ranked by the text's tokens, and every grammar parses the text. If that of the claimed
+    language refuses it, the best ranked of those that accept it tells that the name is wrong; if none does, the
+    text is damaged. Without a claim, or with one that isn't judged, a text is valid, and the best ranked
+    language that accepts it is told all the same. Blank texts are of no foreign language.
     """
-    if claimed is None:
-        return True, None, next((k for k in ranked(text) if parses(text, k) is None), None), None
-    wrong = parses(text, claimed)
-    if wrong is None:
-        return True, None, claimed, None
-    other = next((k for k in ranked(text) if k != claimed and text.strip() and parses(text, k) is None), None)
-    fault = "no_open_tag" if wrong == "no opening tag" else "wrong_ending" if other else "damaged"
-    return False, fault, other, wrong
+    wrong = {k: parses(text, k) for k in ranked(text)}
+    accepted = [k for k in wrong if wrong[k] is None and (k == claimed or text.strip())]
+    if claimed in accepted or claimed not in JUDGED:
+        return True, None, claimed if claimed in accepted else next(iter(accepted), None), None, accepted
+    other, why = next(iter(accepted), None), wrong[claimed]
+    fault = "no_open_tag" if why == "no opening tag" else "wrong_ending" if other else "damaged"
+    return False, fault, other, why, accepted
 
 
 def claim(path: str) -> Column:
@@ -84,13 +83,13 @@ def claim(path: str) -> Column:
 
 
 def faults(files: DataFrame) -> DataFrame:
-    """``files`` without their content, judged: claimed, valid, fault, parses_as, wrong; one row for each file.
+    """``files`` without their content, judged: claimed, valid, fault, parses_as, wrong, accepts; one row for each file.
 
     Null content: ``valid`` is null and ``fault`` is ``unread``. Empty texts are judged like any other: valid
     JavaScript, no PHP (no opening tag) and no JSON. Names whose ending claims no judged language are valid.
     Nothing is shuffled: each file is parsed where it is read.
     """
-    keep = [c for c in files.columns if c not in ("content", "claimed", "valid", "fault", "parses_as", "wrong")]
+    keep = [c for c in files.columns if c not in ("content", "claimed", "valid", "fault", "parses_as", "wrong", "accepts")]
     rows = files.withColumn("claimed", claim("path"))
     names = [*keep, "claimed"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
@@ -100,16 +99,11 @@ def faults(files: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for text, claimed in zip(b["content"], b["claimed"]):
-                if text is None:
-                    out.append((None, "unread", None, None))
-                elif claimed in JUDGED:
-                    out.append(again(text, claimed))
-                else:
-                    out.append((True, None, None, None))
-            cols = list(zip(*out)) or [[]] * 4
-            yield b[names].assign(valid=pd.array(list(cols[0]), dtype="boolean"), fault=list(cols[1]), parses_as=list(cols[2]), wrong=list(cols[3]))
-
-    return rows.select(*names, "content").mapInPandas(run, f"{fields}, valid boolean, fault string, parses_as string, wrong string")
+                out.append((None, "unread", None, None, None) if text is None else again(text, claimed))
+            cols = list(zip(*out)) or [[]] * 5
+            yield b[names].assign(valid=pd.array(list(cols[0]), dtype="boolean"), fault=list(cols[1]), parses_as=list(cols[2]), wrong=list(cols[3]), accepts=list(cols[4]))
+
+    return rows.select(*names, "content").mapInPandas(run, f"{fields}, valid boolean, fault string, parses_as string, wrong string, accepts array<string>")
 
 
 def rates(judged: DataFrame) -> DataFrame:

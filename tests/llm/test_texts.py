@@ -35,6 +35,12 @@ def test_grammars(language, good, bad):
     assert [x for x in bad if not syntax.parses(x, language)] == []
 
 
+@pytest.mark.parametrize("text,claimed,fault,accepts", [('{"a": [1]}', "php", "no_open_tag", ["json"]), ("[1, 2]", "json", None, ["json", "js"]), (".a { color: red; }\n@media print { .b { margin: 0 } }", "js", "wrong_ending", ["css"]), ("a { b", "php", "no_open_tag", []), ("var a = 1;", None, None, ["js"]), ("{{{", "css", None, [])])
+def test_every_grammar_is_asked(text, claimed, fault, accepts):
+    valid, told, reads, _, accepted = syntax.judge(text, claimed)
+    assert told == fault and sorted(accepted) == sorted(accepts) and reads == (accepted[0] if accepted else None) or claimed == "json" and valid
+
+
 def test_deep_nesting_and_garbage_end():
     deep = "<?php $a = " + "(" * 3000 + "1" + ")" * 3000 + ";"
     assert syntax.parses(deep, "php") is None
@@ -58,6 +64,8 @@ def test_faults(spark):
     got = {r.file_id: (r.valid, r.fault, r.parses_as) for r in out.collect()}
     assert got[1] == (True, None, "php") and got[2] == (False, "no_open_tag", "js") and got[3] == (False, "wrong_ending", "php") and got[4] == (False, "damaged", None)
     assert got[5][0] and got[6] == (None, "unread", None) and got[7][0] and got[8] == (False, "no_open_tag", None) and got[9][0]
+    accepts = {r.file_id: r.accepts for r in out.collect()}
+    assert accepts[1] == ["php"] and accepts[2] == ["js"] and accepts[3] == ["php"] and accepts[4] == [] and accepts[9] == ["js"] and accepts[6] is None
     rates = {r.claimed: r for r in syntax.rates(out).collect()}
     assert rates["php"].files == 4 and rates["php"].zip_errors == 1 and rates["php"].skipped_no_open_tag == 2 and rates["js"].files_with_error == 1
     assert syntax.faults(df.limit(0)).count() == 0
@@ -81,6 +89,34 @@ def test_kinds_of_files(text, path, expected):
     assert kind(text, path, Library([LIB]), notices()) == expected
 
 
+HAND = "<?php\n\nfunction a_thing( $x ) {\n\tif ( $x ) {\n\t\treturn 1;\n\t}\n\treturn 2;\n}\n"
+
+
+@pytest.mark.parametrize(
+    "text,path,expected",
+    [
+        ("{}", "x/npm-shrinkwrap.json", "lockfile"), ("{}", "x/PACKAGE-LOCK.JSON", "lockfile"), ("{}", "x/package.json", None), (HAND, "vendor/lib/x.php", "vendored"), (HAND, "A\\Node_Modules\\b\\x.js", "vendored"),
+        (HAND, "vendors/lib/x.php", None), (HAND, "lib/x.php", None), ("<?php\n/*\nPlugin Name: Own\n*/\n" + HAND[5:], "vendor/x/x.php", None), ("!function(a){a.b=function(c){return c+1}}(window);", "js/app.min.js", "minified"),
+        (HAND, "js/app.min.php", None), ("!function(a){a.b=function(c){return c+1}}(window);", "js/app.js", None), ("", "vendor/a.php", None), ("", "a.min.js", None), (None, None, None),
+    ],
+)
+def test_path_rules(text, path, expected):
+    assert text is None or kind(text, path, Library([LIB]), notices()) == expected
+
+
+def test_kinds_do_not_depend_on_the_order_of_files(spark):
+    names = ["a/npm-shrinkwrap.json", "a/package.json", "vendor/a/b.php", "src/b.php", "x.min.js", "x.js", "PACKAGE-LOCK.JSON"]
+    rows = [(i, n, t) for i, (n, t) in enumerate((n, t) for n in names for t in ("{}", HAND, "var a=1;b(a)"))]
+    told = [{r.file_id: r.kind for r in handwritten.kinds(spark.createDataFrame(x, "file_id long, path string, content string").coalesce(1), [LIB]).collect()} for x in (rows, rows[::-1], random.Random(5).sample(rows, len(rows)))]
+    assert told[0] == told[1] == told[2] and told[0][0] == "lockfile" and told[0][3] is None
+
+
+def test_data_rules_hold_at_any_length():
+    blob = base64.b64encode(random.Random(1).randbytes(90)).decode().rstrip("=")
+    assert kind(f"<?php\n$x = '{blob}';", "a.php", Library([]), notices()) == "data"
+    assert kind("var p = [" + ",".join(map(str, range(40))) + "];", "a.js", Library([]), notices()) == "data"
+
+
 def test_library_share_equals_sets():
     r = random.Random(2)
     texts = [" ".join(f"w{r.randrange(30)}" for _ in range(80)) for _ in range(4)]
