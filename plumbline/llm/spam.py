@@ -47,45 +47,85 @@ FEATURES = (
 )
 
 
-def segment(text: str) -> str:
-    """What a line or sentence is: link, price, technical, sentence, stuffed or fragment."""
-    if TECHNICAL.search(text) and not PRICE.search(text):
+# What any link and any price of the patterns above holds, in lower case.
+LINK_SIGNS = ("http://", "https://", "www.", "<a", "</a")
+PRICE_SIGNS = ("$", "€", "£", "¥", "usd", "eur", "gbp", "jpy", "rub", "chf", "руб", "円", "元")
+ENDED = re.compile(r"[.!?…][\W_]*$")
+CLOSED = re.compile(r"[.!?…]\s*$")
+LETTER = re.compile(r"[^\W\d_]")
+OPENED = re.compile(r"[\W\d_]*(?:\w+: )?[A-ZÀ-ÞА-ЯЁ¿¡]")
+#: Unbroken runs count as this many characters at most in the shares of a page's text.
+RUN = re.compile(r"(\S{60})\S+")
+STOPS = re.compile(r"[.!?。！？](?:\s|$)")
+
+
+def holds(low: str, signs: tuple[str, ...]) -> bool:
+    return any(x in low for x in signs)
+
+
+def segment(text: str, technical: bool | None = None, links: bool = True, prices: bool = True) -> str:
+    """What a line or sentence is: link, price, technical, sentence, stuffed or fragment.
+
+    ``technical`` tells whether that pattern is known to match; ``links`` and ``prices`` are false where the whole
+    page is known to hold none.
+    """
+    if (TECHNICAL.search(text) if technical is None else technical) and not (prices and PRICE.search(text)):
         return "technical"
-    bare = URL.sub(" ", text)
-    words = [w.lower() for w in WORD.findall(bare)]
+    bare = URL.sub(" ", text) if links else text
     linked = len(bare) < len(text)
-    if CJK.search(bare) and sum(map(len, CJK.findall(bare))) > 0.3 * len(bare):
-        grams = Counter(bare[i : i + 4] for i in range(len(bare) - 3))
+    priced = prices and PRICE.search(bare) is not None
+    if not bare.isascii() and CJK.search(bare) and sum(map(len, CJK.findall(bare))) > 0.3 * len(bare):
         if CJK_SENTENCE.search(bare):
+            grams = Counter(bare[i : i + 4] for i in range(len(bare) - 3))
             return "stuffed" if grams and max(grams.values()) >= 3 else "sentence"
-        return "price" if PRICE.search(bare) else "link" if linked else "fragment"
-    used = sum(w in FUNCTION_WORDS for w in words)
-    pairs = Counter(p for p in zip(words, words[1:]) if not (p[0] in FUNCTION_WORDS and p[1] in FUNCTION_WORDS))
-    content = Counter(w for w in words if w not in FUNCTION_WORDS and len(w) > 2)
-    natural = len(words) >= 4 and used >= max(1, 0.15 * len(words))
-    if natural:
-        twice = pairs and max(pairs.values()) >= 2 or content and max(content.values()) >= 3
-        ended = re.search(r"[.!?…][\W_]*$", bare)
-        if PRICE.search(bare) and not ended and len(words) < 16:
+        return "price" if priced else "link" if linked else "fragment"
+    words = WORD.findall(bare.lower())
+    used = sum(map(FUNCTION_WORDS.__contains__, words))
+    if len(words) >= 4 and used >= max(1, 0.15 * len(words)):
+        ended = ENDED.search(bare) is not None
+        if priced and not ended and len(words) < 16:
             return "price"
-        if twice and (len(words) < 60 or not ended):
-            return "stuffed"
+        if (len(words) < 60 or not ended) and len(set(words)) < len(words):
+            pairs = Counter(p for p in zip(words, words[1:]) if not (p[0] in FUNCTION_WORDS and p[1] in FUNCTION_WORDS))
+            content = Counter(w for w in words if w not in FUNCTION_WORDS and len(w) > 2)
+            if pairs and max(pairs.values()) >= 2 or content and max(content.values()) >= 3:
+                return "stuffed"
         if linked and len(words) < (6 if ended else 12):
             return "link"
         return "sentence"
-    if PRICE.search(bare):
+    if priced:
         return "price"
     if linked:
         return "link"
-    spoken = re.search(r"[.!?…]\s*$", bare) and re.search(r"[^\W\d_]", bare) and re.match(r"[\W\d_]*(?:\w+: )?[A-ZÀ-ÞА-ЯЁ¿¡]", bare)
-    return "sentence" if spoken and len(words) >= 4 and len(set(words)) == len(words) else "fragment"
+    spoken = len(words) >= 4 and len(set(words)) == len(words) and CLOSED.search(bare) and LETTER.search(bare) and OPENED.match(bare)
+    return "sentence" if spoken else "fragment"
 
 
-def features(text: str) -> tuple[float, ...]:
+class Segments(dict):
+    """Kinds of pieces met before: pages share their lines and sentences. Emptied when full, so that memory is bounded."""
+
+    def __init__(self, most: int = 200_000, longest: int = 300):
+        super().__init__()
+        self.most, self.longest = most, longest
+
+    def __missing__(self, key: tuple[str, bool | None, bool, bool]) -> str:
+        kind = segment(*key)
+        if len(key[0]) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = kind
+        return kind
+
+
+def features(text: str, known: Segments | None = None) -> tuple[float, ...]:
     """The features of one text, in the order of ``FEATURES``."""
-    t = HIDDEN.sub(" ", unicodedata.normalize("NFKC", text))
-    links = len(URL.findall(t))
-    words = [w.lower() for w in WORD.findall(URL.sub(" ", t))]
+    known = Segments() if known is None else known
+    t = text if text.isascii() else HIDDEN.sub(" ", unicodedata.normalize("NFKC", text))
+    extent = (lambda x: len(RUN.sub(r"\1", x.strip()))) if RUN.search(t) else lambda x: len(x.strip())
+    low = t.lower()
+    linked, priced = holds(low, LINK_SIGNS), holds(low, PRICE_SIGNS)
+    links = len(URL.findall(t)) if linked else 0
+    words = WORD.findall(URL.sub(" ", low) if links else low)
     n = max(len(words), 1)
     part: Counter[str] = Counter()
     lines = [x for x in t.split("\n") if x.strip()]
@@ -94,20 +134,25 @@ def features(text: str) -> tuple[float, ...]:
         if line.lstrip().startswith("```"):
             fenced = not fenced
         if fenced:
-            part["technical"] += len(line.strip())
+            part["technical"] += extent(line)
+            continue
+        pieces = SENTENCES.split(line)
+        technical = len(pieces) <= 3 and TECHNICAL.search(line) is not None  # such a line stays whole, unless it is a paragraph
+        if technical or len(pieces) == 1:
+            part[known[line, technical, linked, priced]] += extent(line)
             continue
-        pieces = [line] if TECHNICAL.search(line) and len(line) < 300 else SENTENCES.split(line)
         for p in pieces:
             if p.strip():
-                part[segment(p)] += len(p.strip())
+                part[known[p, None, linked, priced]] += extent(p)
     size = max(sum(part.values()), 1)
     pairs = Counter(zip(words, words[1:]))
-    content = Counter(w for w in words if w not in FUNCTION_WORDS)
+    counts = Counter(words)
+    content = max((c for w, c in counts.items() if w not in FUNCTION_WORDS), default=0)
     spam = part["link"] + part["price"] + part["fragment"] + part["stuffed"]
     return (
-        float(len(words) + 3 * links), float(len(lines)), len(set(words)) / n, (content.most_common(1)[0][1] / n if content else 0.0), (pairs.most_common(1)[0][1] / n if pairs else 0.0),
-        sum(w in FUNCTION_WORDS for w in words) / n, len(re.findall(r"[.!?。！？](?:\s|$)", t)) / n, links / (n + links), len(PRICE.findall(t)) / n,
-        (t.count(",") + t.count("、") + t.count("|")) / n, sum(bool(MIXED.match(w)) for w in words) / n,
+        float(len(words) + 3 * links), float(len(lines)), len(counts) / n, content / n, max(pairs.values(), default=0) / n,
+        sum(c for w, c in counts.items() if w in FUNCTION_WORDS) / n, len(STOPS.findall(t)) / n, links / (n + links), (len(PRICE.findall(t)) if priced else 0) / n,
+        (t.count(",") + t.count("、") + t.count("|")) / n, sum(c for w, c in counts.items() if not w.isalpha() and MIXED.match(w)) / n,
         part["link"] / size, part["price"] / size, part["fragment"] / size, part["stuffed"] / size, part["sentence"] / size, part["technical"] / size,
         spam / size, spam / max(size - part["technical"], 1),
     )
@@ -130,8 +175,9 @@ def featured(docs: DataFrame, text: str = "text") -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Segments()
         for b in batches:
-            rows = [features(t or "") for t in b[text]]
+            rows = [features(t or "", known) for t in b[text]]
             yield b[keep].assign(f=[list(r) for r in rows], weak=pd.Series([weak_label(dict(zip(FEATURES, r))) for r in rows], index=b.index, dtype="int32"))
 
     return docs.select(*keep, text).mapInPandas(run, f"{fields}, f array<double>, weak int")
