@@ -6,61 +6,65 @@ from collections import Counter
 from functools import reduce
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.keys import author_key, slug_key
 from plumbline.operators.joins import salted_lookup
 from plumbline.operators.rank import spread_rank
-from plumbline.session import cut
+from plumbline.session import stored
 from plumbline.sources.tables import table
 
-SALTS = 16
+SALTS = 8
 
 
 def stars(keyed: DataFrame, node: str, key: str) -> DataFrame:
-    """Edges (u, v) that connect all nodes sharing a key, at most two for each row.
+    """Edges (u, v) that connect all nodes sharing a key with the least of them, at most one for each row.
 
-    Nodes of a key are first tied to the least node of their slice of the key, then those to the least of all,
-    so that no task holds more than one slice of a hot key. Null keys and nodes link nothing.
+    The least nodes are found by partial sums in each task, and the rows of a hot key meet theirs in several tasks,
+    so no task holds a whole key. Null keys and nodes link nothing.
     """
-    rows = keyed.where(F.col(node).isNotNull() & F.col(key).isNotNull()).select(F.col(node).alias("u"), F.col(key).alias("k"), F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int").alias("s"))
-    low = rows.withColumn("v", F.min("u").over(Window.partitionBy("k", "s")))
-    tops = low.groupBy("k", "s").agg(F.min("u").alias("u")).withColumn("v", F.min("u").over(Window.partitionBy("k")))
-    return low.select("u", "v").unionByName(tops.select("u", "v")).where("u <> v").distinct()
+    rows = keyed.where(F.col(node).isNotNull() & F.col(key).isNotNull()).select(F.col(node).alias("u"), F.col(key).alias("k"))
+    least = rows.groupBy("k").agg(F.min("u").alias("v"))
+    return salted_lookup(rows, least, "k", F.xxhash64("u"), SALTS, "inner").select("u", "v").where("u <> v").distinct()
+
+
+def flat(hooks: DataFrame, name: str) -> DataFrame:
+    """The (hi, lo) table of hooks shortcut until every ``lo`` hooks onto nothing; written to the shared folder.
+
+    A pass looks every end up twice, so that ways shrink to a third, and is written once.
+    """
+    while True:
+        up = hooks.select(F.col("hi").alias("lo"), F.col("lo").alias("__up"))
+        jump = lambda df: salted_lookup(df, up, "lo", F.xxhash64("hi"), SALTS).select("hi", F.coalesce("__up", "lo").alias("lo"), F.col("__up").isNotNull().alias("moved"))
+        jumped = stored(jump(jump(hooks).drop("moved")), name)
+        hooks, moved = jumped.select("hi", "lo"), jumped.where("moved").limit(1).count()
+        if not moved:
+            return hooks
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     """(node, root): the least node that each node is connected with, by hooking and shortcutting.
 
-    The table of parents starts with every node as its own. In each round, edges are carried over to the roots
-    of their ends, every root hooks onto the least neighbouring root below it, the hooks are shortcut by joining
-    them with themselves until they are flat, and all parents follow. Rounds end when no edge joins two roots.
-    Parents and remaining edges are written to the shared folder each round. ``edges`` has columns u and v;
-    nulls and loops are ignored, as are repeated rows. Nodes without edges are their own root.
+    Every node starts as its own root. In each round every root hooks onto the least neighbouring root below it,
+    the hooks are shortcut by joining them with themselves until they are flat, and the edges are carried over to
+    the roots of their ends. Rounds end when no edge joins two roots. A node hooks once, so the hooks of all rounds
+    are one forest, which is shortcut in the end and met by the nodes only then. Hooks and remaining edges are
+    written to the shared folder each round. ``edges`` has columns u and v; nulls and loops are ignored, as are
+    repeated rows. Nodes without edges are their own root.
     """
-    spread = lambda c: F.xxhash64(c)
-    parents = nodes.select(F.col(node).alias("node")).where("node IS NOT NULL").distinct()
-    parents = parents.withColumn("root", F.col("node"))
-    left = cut(edges.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi <> lo").distinct())
-    n = left.count()
-    while n:
-        hooks = left.groupBy("hi").agg(F.min("lo").alias("lo"))
-        hooks = cut(hooks)
-        while True:
-            up = hooks.select(F.col("hi").alias("lo"), F.col("lo").alias("up"))
-            jumped = salted_lookup(hooks, up, "lo", spread(F.col("hi")), SALTS).select("hi", F.coalesce("up", "lo").alias("lo"), F.col("up").isNotNull().alias("moved"))
-            jumped = cut(jumped)
-            hooks, moved = jumped.select("hi", "lo"), not jumped.where("moved").isEmpty()
-            if not moved:
-                break
-        follow = hooks.select(F.col("hi").alias("root"), F.col("lo").alias("__to"))
-        parents = cut(salted_lookup(parents, follow, "root", spread(F.col("node")), SALTS).select("node", F.coalesce("__to", "root").alias("root")))
-        at = lambda df, c: salted_lookup(df, hooks.select(F.col("hi").alias(c), F.col("lo").alias("__to")), c, spread(F.concat_ws(",", "hi", "lo")), SALTS).withColumn(c, F.coalesce("__to", c)).drop("__to")
-        moved_on = at(at(left, "hi"), "lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).where("hi <> lo").distinct()
-        left = cut(moved_on)
-        n = left.count()
-    return parents
+    left = stored(edges.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi <> lo").distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while left.limit(1).count():
+        hooks = flat(left.groupBy("hi").agg(F.min("lo").alias("lo")), "hooks")
+        rounds.append(hooks)
+        at = lambda df, c: salted_lookup(df, hooks.select(F.col("hi").alias(c), F.col("lo").alias("__to")), c, F.xxhash64("hi", "lo"), SALTS).withColumn(c, F.coalesce("__to", c)).drop("__to")  # noqa: B023, E731
+        left = stored(at(at(left, "hi"), "lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).where("hi <> lo").distinct(), "edges")
+    alone = nodes.select(F.col(node).alias("node")).where("node IS NOT NULL").distinct()
+    if not rounds:
+        return alone.withColumn("root", F.col("node"))
+    forest = rounds[0] if len(rounds) == 1 else flat(reduce(DataFrame.unionByName, rounds), "forest")
+    return salted_lookup(alone.withColumn("hi", F.col("node")), forest, "hi", F.xxhash64("node"), 1).select("node", F.coalesce("lo", "node").alias("root"))
 
 
 def nearest(reach: int, target: int) -> int:
@@ -120,7 +124,8 @@ def split_groups(groups: DataFrame, shares: dict[str, float], rest: str = "train
     occurs reaches the driver: its distinct sizes number less than the square root of twice the records. Which
     groups of a size are taken is decided by a hash of the root, so a rerun decides alike.
     """
-    sizes = cut(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
+    groups = stored(groups, "groups")
+    sizes = stored(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
     left = {int(r["size"]): int(r["n"]) for r in sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(s * n for s, n in left.items())
     rows, start = [], Counter()
