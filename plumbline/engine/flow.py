@@ -9,6 +9,7 @@ arguments. Joining values is union of origins and of dangers, hence monotone, an
 from __future__ import annotations
 
 import re
+from collections import Counter, deque
 from dataclasses import dataclass, field
 
 from plumbline.engine import vocabulary as V
@@ -56,13 +57,32 @@ class Unit:
     body: list
     line: int
     last: int
+    space: str = ""
+    types: dict = field(default_factory=dict)
+
+
+def parts(tree):
+    """All nodes of a tree, outer ones first."""
+    todo = [tree]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            if x and isinstance(x[0], str):
+                yield x
+            todo += reversed(x)
+        elif isinstance(x, list):
+            todo += reversed(x)
 
 
 class Plugin:
     """All files of a release, analysed to a fixpoint; ``findings`` and ``status`` tell the outcome."""
 
-    def __init__(self, files: list[tuple[str, str]], cap: int = 32, missing_guards: bool = True):
-        self.cap, self.missing_guards = cap, missing_guards
+    def __init__(self, files: list[tuple[str, str]], cap: int = 32, missing_guards: bool = True, handler_entry: bool = False, presence: bool = False, graded: bool = False):
+        """``handler_entry``: a finding's entry point is its function's, not its file's. Missing guards are told where no guard
+        holds before a change; with ``presence`` where a function has no guard at all, whatever its callers do, with the deficit
+        (0 where it is guarded otherwise) beside it. Their confidence is 0.5, with ``graded`` it grows with the deficit."""
+        self.cap, self.missing_guards, self.handler_entry, self.presence, self.graded = cap, missing_guards, handler_entry, presence, graded
+        self.defined: Counter[str] = Counter()
         self.units: dict[str, Unit] = {}
         self.tops: list[Unit] = []
         self.parents: dict[str, str] = {}
@@ -76,11 +96,13 @@ class Plugin:
             self.errors += p.errors
             top: list = []
             self.collect(tree, path, "", top)
-            self.tops.append(Unit(f"{path}#top", "", path, "", [], top, 1, text.count("\n") + 1))
+            space = next((x[2] for x in tree if x[0] == "namespace" and x[3] is None), "")
+            self.tops.append(Unit(f"{path}#top", "", path, "", [], top, 1, text.count("\n") + 1, space))
         self.summaries = {k: Summary() for k in self.units}
         self.props: dict = {}
         self.findings: list[dict] = []
         self.facts: dict[str, dict] = {}
+        self.contexts = self.callbacks()
         self.run()
 
     def collect(self, tree: list, path: str, space: str, top: list) -> None:
@@ -91,12 +113,13 @@ class Plugin:
                 else:
                     self.collect(s[3], path, s[2], top)
             elif s[0] == "function":
-                self.define(Unit(f"f:{s[2].lower()}", s[2], path, "", s[3], s[4], s[1], s[5]), top, space)
+                full = f"{space}\\{s[2]}" if space else s[2]
+                self.define(Unit(f"f:{full.lower()}", s[2], path, "", s[3], s[4], s[1], s[5], space, s[6]), top, space)
             elif s[0] == "class":
                 if s[3]:
                     self.parents[s[2].lower()] = s[3].lstrip("\\").rsplit("\\", 1)[-1].lower()
                 for m in s[4]:
-                    self.define(Unit(f"m:{s[2].lower()}::{m[2].lower()}", m[2], path, s[2].lower(), m[3], m[4], m[1], m[5]), top, space)
+                    self.define(Unit(f"m:{s[2].lower()}::{m[2].lower()}", m[2], path, s[2].lower(), m[3], m[4], m[1], m[5], space, m[6]), top, space)
             elif s[0] in ("if", "block") and any(x[0] in ("function", "class") for part in s[2:] if isinstance(part, list) for x in part):
                 top.append(s)
                 for part in s[2:]:
@@ -106,9 +129,83 @@ class Plugin:
                 top.append(s)
 
     def define(self, unit: Unit, top: list, space: str) -> None:
+        self.defined[unit.key] += 1
         self.units.setdefault(unit.key, unit)  # the first definition in file order counts, whatever order files come in
         self.collect([s for s in unit.body if s[0] in ("function", "class")], unit.file, space, [])
 
+    def function(self, full: str, space: str) -> str | None:
+        """Definition that a call of a function reaches: in the namespace of the call first, then the global one; imports are not followed."""
+        low, inside = full.lower(), space.lower() + "\\" if space else ""
+        if low.startswith("\\"):
+            names = [low[1:]]
+        elif low.startswith("namespace\\"):
+            names = [inside + low[10:]]
+        else:
+            names = [inside + low] if "\\" in low and inside else [inside + low, low]
+        return next((f"f:{n}" for n in names if f"f:{n}" in self.units), None)
+
+    def callback(self, e, cls: str) -> str | None:
+        """Definition that a callback names; null where its object is only known at run time."""
+        short = lambda name: name.lstrip("\\").rsplit("\\", 1)[-1].lower()
+        if e[0] == "literal":
+            owner, _, name = str(e[2]).rpartition("::")
+            return self.method(short(owner), name.lower()) if owner else self.function("\\" + name.lstrip("\\"), "")
+        if e[0] != "array" or len(e[2]) != 2:
+            return None
+        of, name = e[2][0][1], e[2][1][1]
+        if name[0] != "literal":
+            return None
+        if of[0] == "var" and of[2] == "this" or of[0] == "name" and of[2].lower() in ("self::class", "static::class", "__class__"):
+            owner = cls
+        elif of[0] == "name" and of[2].lower().endswith("::class"):
+            owner = short(of[2][:-7])
+        elif of[0] in ("new", "static"):
+            owner = short(of[2])
+        elif of[0] == "literal":
+            owner = short(str(of[2]))
+        else:
+            return None
+        return self.method(owner, str(name[2]).lower()) if owner else None
+
+    def callbacks(self) -> dict[str, set[str]]:
+        """What the framework calls definitions for, where a registration names exactly one: shortcode, rest, block, embed, field."""
+        out: dict[str, set[str]] = {}
+        for unit in [*self.units.values(), *self.tops]:
+            for e in parts(unit.body):
+                if e[0] != "call" or "\\" in e[2].lstrip("\\") or self.function(e[2], unit.space):
+                    continue
+                name, args, e2 = e[2].lstrip("\\").lower(), e[3], None
+                of = lambda a, key: next((v for k, v in a[2] if k and k[0] == "literal" and k[2] == key), None) if a[0] == "array" else None
+                if name == "add_shortcode" and len(args) > 1:
+                    kind, e2 = "shortcode", args[1]
+                elif name == "register_rest_route" and len(args) > 2:
+                    kind, e2 = "rest", of(args[2], "callback")
+                elif name == "wp_embed_register_handler" and len(args) > 2:
+                    kind, e2 = "embed", args[2]
+                elif name in ("register_block_type", "register_block_type_from_metadata") and len(args) > 1:
+                    kind, e2 = "block", of(args[1], "render_callback")
+                key = self.callback(e2, unit.cls) if e2 else None
+                if key and self.defined[key] == 1:
+                    out.setdefault(key, set()).add(kind)
+        for key, unit in self.units.items():
+            if unit.name.lower() == "render_field" and unit.cls:
+                seen, at = set(), self.parents.get(unit.cls, "")
+                while at and at not in seen and at != "acf_field":
+                    seen.add(at)
+                    at = self.parents.get(at, "")
+                if at == "acf_field":
+                    out.setdefault(key, set()).add("field")
+        return out
+
+    def readers(self) -> dict[str, set[str]]:
+        """Units that mention a property, by its name."""
+        out: dict[str, set[str]] = {}
+        for key, unit in self.units.items():
+            for e in parts(unit.body):
+                if e[0] in ("prop", "sprop"):
+                    out.setdefault(str(e[3]), set()).add(key)
+        return out
+
     def method(self, cls: str, name: str) -> str | None:
         """Nearest definition of a method up the hierarchy; cycles end."""
         seen = set()
@@ -132,31 +229,35 @@ class Plugin:
 
     def run(self) -> None:
         callers: dict[str, set] = {}
-        queue = list(self.units)
+        readers = self.readers()
+        queue, waiting = deque(self.units), set(self.units)
         changes, rounds, capped = dict.fromkeys(self.units, 0), 0, []
         limit = max(64, self.cap * max(1, len(self.units)))
         while queue and rounds < limit:
             rounds += 1
-            k = queue.pop(0)
-            before, props = self.summaries[k].key(), len(str(self.props))
+            k = queue.popleft()
+            waiting.discard(k)
+            before = self.summaries[k].key()
             walk = Walk(self, self.units[k], emit=False)
             walk.run()
             for c in walk.called:
                 callers.setdefault(c, set()).add(k)
             self.summaries[k] = walk.summary
-            grown = False
+            grown: set[str] = set()
             for p, v in walk.written.items():
                 new = join(self.props.get(p, CLEAN), v)
-                grown |= new != self.props.get(p, CLEAN)
+                if new != self.props.get(p, CLEAN):
+                    grown.add(p.split("->", 1)[1])
                 self.props[p] = new
-            del props
             if walk.summary.key() != before or grown:
                 changes[k] += 1
                 if changes[k] > self.cap:
                     capped.append(k)
                     continue
-                more = callers.get(k, set()) | ({u for u in self.units} if grown else set())
-                queue += sorted(u for u in more if u not in queue)
+                more = callers.get(k, set()).union(*[readers.get(p, set()) for p in grown])
+                for u in sorted(more - waiting):
+                    queue.append(u)
+                    waiting.add(u)
         for unit in [*self.units.values(), *self.tops]:
             walk = Walk(self, unit, emit=True)
             walk.run()
@@ -197,11 +298,15 @@ class Plugin:
         best, edge = dict(handler), {}
         for f in self.facts.values():
             edge.setdefault(f["unit"].name.lower(), set()).update(f["walk"].names)
-        for _ in range(6):
-            for a, names in edge.items():
-                for b in names:
-                    if a in best and best[a] < best.get(b, (9, "unknown")):
-                        best[b] = best[a]
+        front = set(handler)
+        for _ in range(6):  # each round goes one call further, from the names whose entry point got better
+            better: dict[str, tuple[int, str]] = {}
+            for a in front:
+                for b in edge.get(a, ()):
+                    if best[a] < min(best.get(b, (9, "unknown")), better.get(b, (9, "unknown"))):
+                        better[b] = best[a]
+            best.update(better)
+            front = set(better)
         self.entry_of = best
 
     @staticmethod
@@ -225,7 +330,15 @@ class Plugin:
             ep = self.entry_of.get(name, (9, "unknown"))[1]
             for kind, cls in (("nonce", "csrf"), ("capability", "auth")):
                 bare = [(line, sink) for line, sink, held in walk.changes if kind not in held]
-                if not bare or kind == "nonce" and not walk.superglobal:
+                if kind == "nonce" and not walk.superglobal:
+                    continue
+                if self.presence:
+                    if kind not in walk.guarded:
+                        certain = not bare or calls and name not in self.handlers and all(kind in held for held in calls) or kind == "capability" and (ep == "admin" or name in self.permitted)
+                        line, sink, _ = walk.changes[-1]
+                        self.findings.append(finding(unit.file, line, cls, f"{sink} without a {kind} check", "request", sink, [f"{sink} @ {unit.file}:{line}"], False, 0.5, unit.name, unit.file, line, 0.0 if certain else 0.85 if ep == "unknown" else 1.0))
+                    continue
+                if not bare:
                     continue
                 if calls and name not in self.handlers and all(kind in held for held in calls):
                     continue
@@ -233,7 +346,15 @@ class Plugin:
                     continue
                 deficit = 0.85 if ep == "unknown" else 1.0
                 line, sink = bare[0]
-                self.findings.append(finding(unit.file, line, cls, f"{sink} without a {kind} check", "request", sink, [f"{sink} @ {unit.file}:{line}"], False, 0.5, unit.name, unit.file, line, deficit))
+                self.findings.append(finding(unit.file, line, cls, f"{sink} without a {kind} check", "request", sink, [f"{sink} @ {unit.file}:{line}"], False, round(0.30 + 0.30 * deficit, 3) if self.graded else 0.5, unit.name, unit.file, line, deficit))
+
+    def entry(self, f: dict) -> str:
+        """Entry point of a finding: its file's strongest, or that of the innermost function around it, of equally narrow ones the last."""
+        if not self.handler_entry:
+            return self.file_entry.get(f["file"], (9, "unknown"))[1]
+        around = [u for u in self.units.values() if u.file == f["file"] and u.line <= f["line"] <= u.last]
+        inner = min(reversed(around), key=lambda u: u.last - u.line, default=None)
+        return self.entry_of.get(inner.name.lower(), (9, "unknown"))[1] if inner else "unknown"
 
     def finish(self) -> None:
         """Best finding of each place, at most one unserialize risk for each file, entry points, and the ranking."""
@@ -248,7 +369,7 @@ class Plugin:
                 if f["file"] in risk:
                     continue
                 risk.add(f["file"])
-            f["entry_point"] = self.file_entry.get(f["file"], (9, "unknown"))[1]
+            f["entry_point"] = self.entry(f)
             out.append(f)
         self.findings = out
 
@@ -293,11 +414,36 @@ class Walk:
         self.changes: list[tuple] = []
         self.sites: list[tuple] = []
         self.reads = self.superglobal = False
+        self.guarded: set[str] = set()
+        self.typed: dict[str, list] = {}
+        self.built: dict[str, tuple] = {}
+        self.kinds = plugin.contexts.get(unit.key, set()) if emit else set()
+        self.seeded = set(unit.params[:1]) if self.kinds & {"block", "rest", "shortcode"} else set()
 
     def run(self) -> None:
         values = {name: {("param", i): V.ALL} for i, name in enumerate(self.u.params)}
+        given = lambda what: {("source", what): V.ALL}
+        for name in self.seeded:
+            values[name] = given(f"{'/'.join(sorted(self.kinds))} callback input ${name}")
+        if "embed" in self.kinds and len(self.u.params) > 2:
+            values[self.u.params[2]] = given(f"embed callback URL ${self.u.params[2]}")
+        if "field" in self.kinds and self.u.params:
+            for key in ("value", "default_value"):
+                values[f"{self.u.params[0]}[{key}]"] = given(f"stored field value ${self.u.params[0]}[{key}]")
         self.block(self.u.body, State(values))
 
+    def rendered(self, e: tuple, v: dict, line: int) -> None:
+        """What a callback returns is printed: a tainted variable counts where its markup was put together, other expressions where they are returned."""
+        if not self.kinds & {"block", "shortcode"}:
+            return
+        concrete = {k: m for k, m in v.items() if k[0] != "param"}
+        if e[0] == "var" and e[2] not in self.seeded:
+            if e[2] in self.built and concrete:
+                at, value = self.built[e[2]]
+                self.sink("xss", "render callback composition", at, value, V.CONFIDENCE["composition"])
+            return
+        self.sink("xss", "render callback return", line, concrete, V.CONFIDENCE["call"])
+
     # statements
     def block(self, body: list, s: State) -> State:
         for st in body:
@@ -323,7 +469,9 @@ class Walk:
                 self.sink("xss", "echo", line, self.value(e, s), V.CONFIDENCE["output"])
         elif k == "return":
             for e in st[2]:
-                self.summary.returns = join(self.summary.returns, self.value(e, s))
+                v = self.value(e, s)
+                self.rendered(e, v, line)
+                self.summary.returns = join(self.summary.returns, v)
             s.live = False
         elif k == "break":
             pass
@@ -444,6 +592,8 @@ class Walk:
                 self.reads = self.superglobal = True
                 return {("source", f"${e[2]}"): V.ALL}
             return s.values.get(e[2], CLEAN)
+        if k == "named":  # whoever chooses the name chooses the value
+            return {("source", "variable variable"): V.ALL} if self.value(e[2], s) or e[2][0] == "var" and e[2][2] in V.SUPERGLOBALS else CLEAN
         if k == "idx":
             if e[3]:
                 self.value(e[3], s)
@@ -474,6 +624,8 @@ class Walk:
             return join(*[self.value(x, s) for x in e[2]])
         if k == "assign":
             v = self.value(e[4], s)
+            if e[2][0] == "var":
+                self.assigned(e, v)
             self.store(e[2], v, s, add=e[3] != "=")
             return v
         if k == "binary":
@@ -540,6 +692,23 @@ class Walk:
             return join(*args)
         return join(*[self.value(x, s) for x in e[2:] if isinstance(x, tuple)])
 
+    def assigned(self, e: tuple, v: dict) -> None:
+        """Keeps the classes a variable was made of, and where markup with tainted parts was put together in it."""
+        name, right = e[2][2], e[4]
+        self.typed.setdefault(name, []).append(right[2].lstrip("\\").rsplit("\\", 1)[-1].lower() if right[0] == "new" and e[3] == "=" else None)
+        if e[3] == ".=" or right[0] == "text" or right[0] == "binary" and right[2] == ".":
+            concrete = {k: m for k, m in v.items() if k[0] != "param" and m & V.BIT["xss"]}
+            if concrete:
+                self.built.setdefault(name, (e[1], concrete))
+
+    def classes_of(self, name: str) -> tuple[list[str], bool]:
+        """Classes a variable's object may have, and whether classes derived from them, too; none where any assignment is of another kind."""
+        if name in self.typed:
+            found = self.typed[name]
+            return ([] if None in found else list(dict.fromkeys(found))), False
+        declared = self.u.types.get(name)
+        return ([declared.lstrip("\\").rsplit("\\", 1)[-1].lower()] if declared else []), True
+
     def note(self, name: str, s: State) -> None:
         self.names.add(name)
         self.sites.append((name, s.held))
@@ -548,14 +717,16 @@ class Walk:
         line, full, exprs = e[1], e[2], e[3]
         name = full.lstrip("\\").rsplit("\\", 1)[-1].lower()
         args = [self.value(a, s) for a in exprs]
-        own = f"f:{name}" in self.p.units
+        own = self.p.function(full, self.u.space)
         self.note(name, s)
         if own:
-            return self.apply([f"f:{name}"], args, line, s)
+            return self.apply([own], args, line, s)
         if "\\" in full.lstrip("\\"):
             return join(*args)
         if name in V.BARE_NONCE:
             s.held |= {"nonce"}
+        if name in V.NONCE or name in V.CAPABILITY:
+            self.guarded.add("nonce" if name in V.NONCE else "capability")
         if name in V.STATE_CHANGES:
             self.changes.append((line, name, s.held))
         if name in V.SINK_OF:
@@ -612,7 +783,7 @@ class Walk:
             return {("source", f"{name}()"): V.ALL}
         if "wpdb" in receiver and (name in V.STATE_METHODS or name == "query" and any(w in str(exprs).upper() for w in V.WRITE_WORDS)):
             self.changes.append((line, f"$wpdb->{name}", s.held))
-        if name in V.SQL_METHODS and (name in V.SQL_ONLY or any(h in receiver for h in V.SQL_HINTS)):
+        if name in V.SQL_METHODS and (name in V.SQL_ONLY or any(h in f"${receiver}" for h in V.SQL_HINTS)):
             self.sink("sqli", f"$wpdb->{name}" if "wpdb" in receiver else f"->{name}", line, join(*args[:1]), V.CONFIDENCE["call"])
         if receiver == "this":
             keys = self.p.virtual(self.u.cls, name)
@@ -621,6 +792,11 @@ class Walk:
             key = self.p.method(obj[2].lstrip("\\").rsplit("\\", 1)[-1].lower(), name)
             if key:
                 return self.apply([key], args, line, s)
+        if obj[0] == "var":
+            classes, derived = self.classes_of(obj[2])
+            keys = sorted({k for x in classes for k in (self.p.virtual(x, name) if derived else [self.p.method(x, name)]) if k})
+            if keys:
+                return self.apply(keys, args, line, s)
         return join(base, *args)
 
     def apply(self, keys: list, args: list, line: int, s: State) -> dict:

@@ -14,10 +14,10 @@ STATUS = "converged boolean, updates int, rounds int, capped int, errors int, fi
 COLUMNS = [c.split()[0] for c in FINDING.split(", ")]
 
 
-def _analysed(pdf: pd.DataFrame, cap: int, guards: bool) -> tuple[list[dict], dict]:
+def _analysed(pdf: pd.DataFrame, cap: int, guards: bool, **options: bool) -> tuple[list[dict], dict]:
     files = sorted({p: t for p, t in sorted(zip(pdf["path"], pdf["content"]), key=str) if t is not None and p is not None}.items())  # a path counts once
     try:
-        plugin = Plugin(files, cap, guards)
+        plugin = Plugin(files, cap, guards, **options)
         return plugin.findings, {**plugin.status, "findings": len(plugin.findings), "failed": None}
     except Exception as e:  # one plugin must never end the job; its status says what happened
         return [], {"converged": False, "updates": 0, "rounds": 0, "capped": 0, "errors": 0, "findings": 0, "failed": type(e).__name__}
@@ -30,14 +30,15 @@ def _spread(files: DataFrame, key: str) -> DataFrame:
     return files.select(key, "path", "content").repartition(n, key).groupBy(key)
 
 
-def scan(files: DataFrame, key: str = "record_id", cap: int = 32, guards: bool = True) -> DataFrame:
+def scan(files: DataFrame, key: str = "record_id", cap: int = 32, guards: bool = True, **options: bool) -> DataFrame:
     """Findings of each release, from rows (key, path, content).
 
     A release is analysed in one piece, as its calls and properties cross files; its size is that of one plugin's
     archive, however many releases there are. Null contents and paths are passed over, other columns ignored.
+    ``options`` are those of ``flow.Plugin``.
     """
     def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found, _ = _analysed(pdf, cap, guards)
+        found, _ = _analysed(pdf, cap, guards, **options)
         out = pd.DataFrame(found, columns=COLUMNS)
         out.insert(0, key, keys[0])
         return out.astype({"line": "int32", "sink_line": "int32", "seq": "int32"})

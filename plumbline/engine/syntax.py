@@ -59,6 +59,11 @@ def lex(text: str) -> list[tuple[str, str, int]]:
     return out
 
 
+# Words before a parameter that are no class.
+MODIFIERS = frozenset("public private protected readonly var & ...".split())
+BUILT_IN = frozenset("array string int integer float double bool boolean callable iterable object mixed self static parent null false true void never".split())
+
+
 class Parser:
     def __init__(self, text: str):
         self.toks = [*lex(text), ("end", "", text.count("\n") + 1)]
@@ -336,17 +341,26 @@ class Parser:
             self.i += 1
 
     def params(self) -> list:
+        """Names of the parameters; ``types`` keeps the class of those with one plain class as their type."""
         self.need("(")
-        out = []
+        out, types, before = [], {}, []
         while not self.eat(")"):
             if self.kind == "var":
-                out.append(self.next()[1:])
+                name = self.next()[1:]
+                words = [w for w in before if w.lower() not in MODIFIERS]
+                if len(words) == 1 and re.match(r"[A-Za-z_\\]", words[0]) and words[0].lower() not in BUILT_IN:
+                    types[name] = words[0]
+                out.append(name)
+                before = []
                 if self.eat("="):
                     self.expr()
             elif self.kind == "end":
                 raise Damaged(")")
+            elif self.eat(","):
+                before = []
             else:
-                self.i += 1
+                before.append(self.next())
+        self.types = types
         return out
 
     def returns(self) -> None:
@@ -358,8 +372,9 @@ class Parser:
         self.eat("&")
         name = self.next()
         p = self.params()
+        types = self.types
         self.returns()
-        return ("function", line, name, p, self.block(), self.toks[self.i - 1][2])
+        return ("function", line, name, p, self.block(), self.toks[self.i - 1][2], types)
 
     def do_abstract(self, line):
         return self.statement()
@@ -390,8 +405,9 @@ class Parser:
                 self.eat("&")
                 m = self.next()
                 p = self.params()
+                types = self.types
                 self.returns()
-                methods.append(("function", at, m, p, [] if self.eat(";") else self.block(), self.toks[self.i - 1][2]))
+                methods.append(("function", at, m, p, [] if self.eat(";") else self.block(), self.toks[self.i - 1][2], types))
             elif self.kind == "var":
                 inits.append(("expr", self.line, self.expr()))
             elif self.eat("{"):
@@ -480,11 +496,11 @@ class Parser:
             return self.items(line, "]")
         if v == "$":
             if self.eat("{"):
-                self.expr()
+                named = self.expr()
                 self.need("}")
             else:
-                self.unary()
-            return ("var", line, "")
+                named = self.unary()
+            return ("named", line, named)
         if k == "name":
             if w in ("array", "list") and self.at("("):
                 self.i += 1

@@ -25,7 +25,7 @@ DECODERS = {"htmlspecialchars_decode": BIT["xss"], "html_entity_decode": BIT["xs
 PREDICATES = frozenset("is_array is_string is_bool is_int is_null is_object array_key_exists in_array count sizeof strlen mb_strlen gettype".split())
 
 SINKS = {
-    "rce": "system exec shell_exec passthru popen proc_open pcntl_exec eval assert call_user_func call_user_func_array array_map usort uasort uksort register_shutdown_function register_tick_function",
+    "rce": "system exec shell_exec passthru popen proc_open pcntl_exec eval assert call_user_func call_user_func_array array_map array_walk usort uasort uksort register_shutdown_function register_tick_function",
     "lfi": "fopen readfile file file_get_contents highlight_file show_source parse_ini_file readlink opendir scandir glob unlink locate_template load_template get_template_part virtual",
     "upload": "file_put_contents move_uploaded_file fwrite fputs copy wp_handle_sideload media_handle_sideload wp_handle_upload media_handle_upload",
     "deserial": "unserialize maybe_unserialize yaml_parse igbinary_unserialize",
@@ -36,10 +36,10 @@ SINKS = {
 }
 SINK_OF = {name: c for c, names in SINKS.items() for name in names.split()}
 #: Sinks of which only one argument counts, by its index.
-SINK_ARGUMENT = {"array_map": 0, "call_user_func": 0, "call_user_func_array": 0, "usort": 1, "uasort": 1, "uksort": 1, "preg_replace": 0}
+SINK_ARGUMENT = {"array_map": 0, "array_walk": 1, "call_user_func": 0, "call_user_func_array": 0, "usort": 1, "uasort": 1, "uksort": 1, "preg_replace": 0, "create_function": 1, "register_shutdown_function": 0, "register_tick_function": 0}
 SQL_METHODS = frozenset("query get_results get_row get_var get_col".split())
 SQL_ONLY = frozenset("get_results get_row get_var get_col".split())
-SQL_HINTS = ("wpdb", "db", "database", "sql", "mysqli", "pdo", "conn", "query")
+SQL_HINTS = ("wpdb", "->db", "$db", "database", "mysqli", "->dbh", "$dbh", "pdo", "->conn", "dbal", "->wpdb")
 
 STATE_CHANGES = frozenset(
     "update_option add_option delete_option update_site_option update_network_option update_post_meta add_post_meta delete_post_meta update_user_meta add_user_meta delete_user_meta update_term_meta "
@@ -62,4 +62,4 @@ HOOKS = (
 #: Registrars of admin pages, and permission callbacks that let everybody in.
 MENUS = r"\b(add_(?:menu|submenu|options|management|theme|plugins|users|dashboard|posts|media|comments|pages)_page)\s*\("
 PUBLIC = r"(?i)__return_true|^\s*['\"]?true['\"]?\W*$"
-CONFIDENCE = {"output": 0.60, "include": 0.66, "call": 0.66, "persistent": 0.52, "risk": 0.45, "across": 0.72}
+CONFIDENCE = {"output": 0.60, "include": 0.66, "call": 0.66, "persistent": 0.52, "risk": 0.45, "across": 0.72, "composition": 0.68}

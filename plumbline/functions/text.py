@@ -85,3 +85,8 @@ def neutral_sink(c: str) -> Column:
     leaf = F.trim(F.translate(F.element_at(F.split(sink, r"\."), -1), "-_", "  "))
     named = F.when(leaf != "", F.concat(F.lit("(sink category: "), leaf, F.lit(")"))).otherwise(F.lit("(sink category: unspecified)"))
     return F.when(sink == "", F.lit("")).when(rule_name(sink), named).otherwise(scrub(c))
+
+
+def canonical_hash(*fields: str) -> Column:
+    """SHA-256 of the fields as JSON with sorted keys, no blanks and nulls written out."""
+    return F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256)

@@ -47,3 +47,19 @@ def patch_map(old: DataFrame, new: DataFrame) -> DataFrame:
     """Files that differ between two sets (path, content); deleted and added files have no lines."""
     both = old.select("path", F.col("content").alias("old")).join(new.select("path", F.col("content").alias("new")), "path", "full_outer")
     return both.where(~F.col("old").eqNullSafe(F.col("new"))).mapInPandas(_diffed, SCHEMA)
+
+
+def field_changes(old: DataFrame, new: DataFrame, keys: list[str], allowed: list[str]) -> DataFrame:
+    """(field, changed, outside): in how many records of both sets a field differs; ``outside`` where it differs though it may not."""
+    fields = [c for c in old.columns if c not in keys]
+    both = old.alias("a").join(new.alias("b"), keys)
+    differs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))).alias("d")) for f in fields])).alias("x")
+    n = both.select(differs).groupBy("x.field").agg(F.count_if("x.d").alias("changed"))
+    return n.withColumn("outside", ~F.col("field").isin(*allowed) & (F.col("changed") > 0))
+
+
+def unified(old: str | None, new: str | None, most: int = 60) -> str:
+    """The first lines of a unified diff with two lines of context, without its file names; a note if nothing differs."""
+    lines = difflib.unified_diff((old or "").split("\n"), (new or "").split("\n"), lineterm="", n=2)
+    kept = [x for x in lines if not x.startswith(("---", "+++"))][:most]
+    return "\n".join(kept) if kept else "(file unchanged by the patch)"

@@ -52,3 +52,10 @@ def violations(rows: DataFrame) -> DataFrame:
     """(finding_id, gid, rule) for every implication a row breaks; none on sound geometry."""
     broken = F.filter(F.array(*[F.when(F.col(a) & ~F.col(b), F.lit(f"{a} without {b}")) for a, b in NESTING]), lambda x: x.isNotNull())
     return rows.select("finding_id", "gid", F.explode(broken).alias("rule"))
+
+
+def rungs(rows: DataFrame, advised: str) -> DataFrame:
+    """Four rungs by place alone, and the same where the finding's class is the advised one; the class never changes the place."""
+    match = F.coalesce(F.col("cls") == F.col(advised), F.lit(False))
+    place = {"file": F.col("in_file"), "callable": F.col("same_callable"), "exact_line": F.coalesce(F.col("distance") == 0, F.lit(False)), "proximity_5": F.col("within5")}
+    return rows.select("finding_id", "gid", match.alias("class_match"), *[v.alias(f"geometric_{k}") for k, v in place.items()], *[(v & match).alias(f"class_{k}") for k, v in place.items()])

@@ -38,6 +38,28 @@ def resampled(table: DataFrame, measures: Sequence[str], replicates: int, seed:
     return taken.join(table.select("i", "n", *measures), "i").groupBy("rep").agg(F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in measures])
 
 
+def drawn_clusters(names: DataFrame, cluster: str, replicates: int, seed: int) -> DataFrame:
+    """(rep, cluster): the clusters of every replicate, drawn with replacement as in ``resampled``, for measures that need more than sums."""
+    numbered = clusters(names, cluster, {}).select("i", cluster)
+    spark = names.sparkSession
+    k = numbered.agg(F.max("i")).first()[0]
+    count = 0 if k is None else int(k) + 1
+    slots = spark.range(replicates * count).select((F.col("id") / max(count, 1)).cast("long").alias("rep"), (F.col("id") % max(count, 1)).alias("slot"))
+    return slots.withColumn("i", (draw(F.lit(seed), "rep", "slot") % max(count, 1)).cast("int")).join(numbered, "i").select("rep", cluster)
+
+
+def unique(rows: DataFrame, key: str) -> DataFrame:
+    """``rows``; an error if a key occurs twice."""
+    if rows.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{key} occurs more than once")
+    return rows
+
+
+def verdict(low: Column, high: Column, margin: float) -> Column:
+    """What an interval of a difference tells, uncorrected for other tests."""
+    return F.when((low > 0) | (high < 0), "excludes_zero_uncorrected").when((low >= -margin) & (high <= margin), "within_margin").otherwise("unresolved")
+
+
 def interval(reps: DataFrame, value: Column, name: str = "value") -> DataFrame:
     """Percentile interval of a value over replicates; undefined replicates drop out and are counted."""
     v = reps.select(value.alias("v"))
@@ -93,11 +115,17 @@ def holm(tests: DataFrame, p: str = "p", order: Sequence[str] = ()) -> DataFrame
 
 
 def allocate(strata: DataFrame, size: str, total: int, name: Sequence[str]) -> DataFrame:
-    """``strata`` with ``take``: proportional, at least 1 each, the rest by largest remainders (ties by name), never above the size."""
-    every = Window.partitionBy()
-    share = strata.withColumn("__q", F.lit(total) * F.col(size) / F.sum(size).over(every))
-    share = share.withColumn("take", F.least(F.greatest(F.floor("__q"), F.lit(1)), F.col(size)))
-    left = F.lit(total) - F.sum("take").over(every)
-    place = F.row_number().over(Window.orderBy(F.desc("__r"), *name))
-    share = share.withColumn("__r", F.when(F.col("take") < F.col(size), F.round(F.col("__q") - F.floor("__q"), 9)).otherwise(-1.0)).withColumn("__left", left).withColumn("__place", place)
-    return share.withColumn("take", F.col("take") + F.when((F.col("__place") <= F.col("__left")) & (F.col("__r") >= 0), 1).otherwise(0)).drop("__q", "__r", "__left", "__place")
+    """``strata`` with ``take``: one place each, the others in proportion to the sizes less one, by largest remainders (ties by name).
+
+    No stratum gets more than it holds; as what is left is dealt in proportion to what a stratum has beyond its
+    first, that only matters if all together hold less than ``total``, and then each gives all. More strata than
+    places are an error. Strata are few; empty ones take no part.
+    """
+    rows, every = strata.where(F.col(size) > 0), Window.partitionBy()
+    if rows.count() > total:
+        raise ValueError("more strata than places")
+    k, all_ = F.count(F.lit(1)).over(every), F.sum(size).over(every)
+    share = rows.withColumn("__q", (F.col(size) - 1) / F.greatest(all_ - k, F.lit(1)) * (F.lit(total) - k)).withColumn("__left", F.lit(total) - k - F.sum(F.floor("__q")).over(every))
+    place = F.row_number().over(Window.orderBy(F.round(F.col("__q") - F.floor("__q"), 9).desc(), *name))
+    more = F.when(place <= F.col("__left"), 1).otherwise(0)
+    return share.withColumn("take", F.least(F.col(size), 1 + F.floor("__q") + more).cast("long")).drop("__q", "__left")

@@ -14,7 +14,7 @@ from plumbline.operators.rank import even_rank, mid_ranks
 from plumbline.plans.base_sql import BASE, ORDER, SLUG
 from plumbline.sources.tables import table
 
-REPLICATES = 200
+REPLICATES = 10_000
 TOP_K = 3
 _DRAW = "CAST(('0x' || substr(md5({0}), 1, 15)) AS BIGINT)"
 
@@ -240,9 +240,8 @@ def t12_holm(spark, folder):
     return statistics.holm(p, "p", ["cls"])
 
 
-@query(with_bases("""WITH s AS (SELECT cls, count(*) AS size FROM F WHERE cls IS NOT NULL GROUP BY cls), q AS (SELECT *, 200.0 * size / sum(size) OVER () AS q FROM s),
- t AS (SELECT *, least(greatest(CAST(floor(q) AS BIGINT), 1), size) AS t0 FROM q), u AS (SELECT *, CASE WHEN t0 < size THEN round(CAST(q AS DOUBLE) - floor(q), 9) ELSE -1.0 END AS r, 200 - sum(t0) OVER () AS l FROM t)
- SELECT cls, size, t0 + CASE WHEN row_number() OVER (ORDER BY r DESC, cls) <= l AND r >= 0 THEN 1 ELSE 0 END AS take FROM u""", "F"))
+@query(with_bases("""WITH s AS (SELECT cls, count(*) AS size FROM F WHERE cls IS NOT NULL GROUP BY cls), k AS (SELECT count(*) AS k, CAST(sum(size) AS BIGINT) AS total FROM s), q AS (SELECT cls, size, (size - 1) * 1.0 / greatest(total - k, 1) * (200 - k) AS share FROM s, k)
+ SELECT cls, size, least(size, 1 + CAST(floor(share) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, cls) <= 200 - count(*) OVER () - sum(floor(share)) OVER () THEN 1 ELSE 0 END) AS take FROM q""", "F"))
 def set_allocation(spark, folder):
     """200 places dealt to the classes in proportion, each at least one, the rest by largest remainders."""
     sizes = base.findings(spark, folder).where("cls IS NOT NULL").groupBy("cls").agg(F.count(F.lit(1)).alias("size"))

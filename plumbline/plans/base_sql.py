@@ -22,5 +22,7 @@ BASE = {
   EXISTS (SELECT 1 FROM BD b WHERE b.gid = g.gid AND (abs(f.line - b.line) <= 5 OR abs(f.line - (b.line + 1)) <= 5)) AS near_boundary
   FROM F f LEFT JOIN G g ON {SLUG.format('f.slug')} = g.slug AND f.cve IS NOT DISTINCT FROM g.cve AND f.path = g.path AND coalesce(g.is_php, true)""",
 }
-NEEDS = {"CL": ["G"], "BD": ["G"], "HK": ["G"], "RG": ["G"], "RK": ["F"], "GEO": ["F", "G", "CL", "BD", "HK"]}
-ORDER = ["F", "G", "CL", "BD", "HK", "RG", "RK", "GEO"]
+BASE["SC"] = """SELECT DISTINCT finding_id, gid FROM (SELECT g.finding_id, g.gid, c.line AS c, (SELECT first(struct_pack(s := r.s, e := r.e) ORDER BY r.e - r.s, r.s) FROM RG r WHERE r.gid = g.gid AND g.line BETWEEN r.s AND r.e) AS own,
+  (SELECT first(struct_pack(s := r.s, e := r.e) ORDER BY r.e - r.s, r.s) FROM RG r WHERE r.gid = g.gid AND c.line BETWEEN r.s AND r.e) AS other FROM GEO g JOIN CL c ON c.gid = g.gid WHERE g.line > 0) WHERE own IS NOT DISTINCT FROM other"""
+NEEDS = {"SC": ["GEO", "CL", "RG"], "CL": ["G"], "BD": ["G"], "HK": ["G"], "RG": ["G"], "RK": ["F"], "GEO": ["F", "G", "CL", "BD", "HK"]}
+ORDER = ["F", "G", "CL", "BD", "HK", "RG", "RK", "GEO", "SC"]
