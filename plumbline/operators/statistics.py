@@ -91,15 +91,21 @@ def binomial_two_sided(b: Column, c: Column) -> Column:
 def sign_flip(differences: DataFrame, value: str = "d") -> DataFrame:
     """(n, observed, p): exact two-sided sign-flip test of integer differences.
 
-    The distribution of the flipped sum is a convolution over distinct sizes: the fold keeps one array over the
-    sums from -total to total. Zero differences don't matter. It is meant for clusters, of which there are few.
+    The distribution of the flipped sum is a convolution over the differences: the fold keeps one array over the
+    sums from -total to total. Only distinct sizes with their numbers are collected, which are fewer than the
+    square root of twice the total. Zero differences don't matter.
     """
-    sizes = differences.where(F.col(value) != 0).agg(F.collect_list(F.abs(value).cast("int")).alias("a"), F.sum(value).cast("long").alias("observed"), F.count(F.lit(1)).alias("n"))
-    total = F.aggregate("a", F.lit(0), lambda x, y: x + y)
+    kept = differences.where(F.col(value) != 0).select(F.col(value).cast("long").alias("d"))
+    each = kept.groupBy(F.abs("d").alias("a")).agg(F.count(F.lit(1)).alias("m"), F.sum("d").alias("s"))
+    sizes = each.agg(F.array_sort(F.collect_list(F.struct("a", "m"))).alias("a"), F.sum("s").alias("observed"), F.coalesce(F.sum("m"), F.lit(0)).alias("n"))
+    total = F.aggregate("a", F.lit(0).cast("long"), lambda x, y: x + y["a"] * y["m"]).cast("int")
     start = F.transform(F.sequence(F.lit(0), 2 * F.col("total")), lambda i: F.when(i == F.col("total"), 1.0).otherwise(0.0))
 
-    def step(p: Column, a: Column) -> Column:
-        return F.transform(p, lambda _, i: 0.5 * (F.coalesce(F.get(p, i - a), F.lit(0.0)) + F.coalesce(F.get(p, i + a), F.lit(0.0))))
+    def flip(p: Column, a: Column) -> Column:
+        return F.transform(p, lambda _, i: 0.5 * (F.coalesce(F.get(p, (i - a).cast("int")), F.lit(0.0)) + F.coalesce(F.get(p, (i + a).cast("int")), F.lit(0.0))))
+
+    def step(p: Column, y: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1).cast("long"), y["m"]), p, lambda q, _: flip(q, y["a"]))
 
     done = sizes.withColumn("total", total).withColumn("p", F.aggregate("a", start, step))
     tail = F.aggregate(F.transform(F.col("p"), lambda x, i: F.when(F.abs(i - F.col("total")) >= F.abs("observed"), x).otherwise(0.0)), F.lit(0.0), lambda x, y: x + y)

@@ -164,7 +164,20 @@ def f31_power_floor(spark, folder):
     return spark.range(1, 21).select(F.col("id").alias("n"), (F.pow(F.lit(0.5), "id") * 2).alias("floor"))
 
 
-@query(with_bases("SELECT finding_id, gid, 'none' AS rule FROM GEO WHERE (distance = 0 AND NOT in_file) OR (in_hunk AND NOT in_file)", *GEO))
+_BROKEN = " UNION ALL ".join(
+    f"SELECT finding_id, gid, '{a} without {b}' AS rule FROM R WHERE {a} AND NOT {b}"
+    for a, b in (("exact", "in_file"), ("same_callable", "in_file"), ("in_hunk", "in_file"), ("within2", "in_file"), ("within5", "in_file"), ("within10", "in_file"), ("exact", "within2"), ("within2", "within5"), ("within5", "within10")))
+_ROWS = "WITH R AS (SELECT g.finding_id, g.gid, {0} AS in_file, coalesce(distance = 0, false) AS exact, coalesce(distance <= 2, false) AS within2, {1} AS within5, coalesce(distance <= 10, false) AS within10, in_hunk, s.gid IS NOT NULL AS same_callable FROM GEO g LEFT JOIN SC s ON s.finding_id = g.finding_id AND s.gid = g.gid) "
+
+
+@query(with_bases(_ROWS.format("in_file AND g.finding_id % 3 <> 0", "coalesce(distance <= 5, false) AND g.finding_id % 5 <> 0") + _BROKEN, *GEO, "RG", "SC"))
+def x06_noticed(spark, folder):
+    """The same check on geometry that was damaged on purpose: every third finding's file and every fifth one's proximity is taken away."""
+    bad = _geo(spark, folder).withColumns({"in_file": F.col("in_file") & (F.col("finding_id") % 3 != 0), "within5": F.col("within5") & (F.col("finding_id") % 5 != 0)})
+    return violations(bad)
+
+
+@query(with_bases(_ROWS.format("in_file", "coalesce(distance <= 5, false)") + _BROKEN, *GEO, "RG", "SC"))
 def x06_violations(spark, folder):
     """Broken implications between rungs: none."""
     return violations(_geo(spark, folder))
@@ -214,7 +227,9 @@ def t09_mcnemar(spark, folder):
     return n.withColumn("p", F.round(statistics.binomial_two_sided(F.col("b_only"), F.col("c_only")), 12))
 
 
-@query()
+@query(with_bases(f"""WITH RECURSIVE d AS (SELECT d, row_number() OVER (ORDER BY slug) AS i FROM (SELECT slug, sum(a) - sum(b) AS d FROM ({HITS}) GROUP BY slug HAVING sum(a) <> sum(b))), o AS (SELECT count(*) AS n, coalesce(CAST(sum(d) AS BIGINT), 0) AS observed FROM d),
+ w(i, s) AS (SELECT 0, CAST(0 AS HUGEINT) UNION ALL SELECT w.i + 1, w.s + t.sign * d.d FROM w JOIN d ON d.i = w.i + 1, (VALUES (-1), (1)) AS t(sign))
+ SELECT CAST(o.n AS BIGINT) AS n, o.observed, round(avg(CASE WHEN abs(w.s) >= abs(o.observed) THEN 1.0 ELSE 0.0 END), 12) AS p FROM w, o WHERE w.i = o.n GROUP BY ALL""", *GEO))
 def t10_sign_flip(spark, folder):
     """Exact sign-flip test over plugins' differences."""
     return statistics.sign_flip(_hits(spark, folder).groupBy("slug").agg((F.sum("a") - F.sum("b")).alias("d")))

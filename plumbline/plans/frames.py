@@ -811,7 +811,7 @@ def t25_completed_pairs(spark, folder):
     rows = placed(spark, folder).groupBy("rkey").agg(
         F.max(flag((c("tool") == "wpt") & c("in_file"))).alias("a"), F.max(flag((c("tool") == "progpilot") & c("in_file"))).alias("b"),
         F.bool_or((c("tool") == "wpt") & c("conf").isNotNull()).alias("x"), F.bool_or((c("tool") == "progpilot") & c("conf").isNotNull()).alias("y"))
-    return rows.where("x AND y").agg(F.count(F.lit(1)).alias("records"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.count_if("a > b").alias("only_a"), F.count_if("b > a").alias("only_b"))
+    return rows.where("x AND y").agg(F.count(F.lit(1)).alias("records"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.count_if(c("a") > c("b")).alias("only_a"), F.count_if(c("b") > c("a")).alias("only_b"))
 
 
 @query
