@@ -55,6 +55,14 @@ def plugins(files: DataFrame) -> DataFrame:
     return php.groupBy("archive").agg(F.count(F.lit(1)).alias("php_files")).withColumn("slug", base).join(named, "archive", "left").withColumn("name", F.coalesce("name", "slug"))
 
 
+def enumerated(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """The plugins of ``plugins``, in the order of their archives' names and numbered from 1; ``limit`` counts only those that could be loaded."""
+    from plumbline.operators.rank import even_rank
+
+    numbered = even_rank(plugins(files.where("fault IS NULL")), [], [F.col("archive")], "n")
+    return numbered if limit is None else numbered.where(F.col("n") <= limit)
+
+
 def with_manifest(records: DataFrame, manifest: DataFrame, keys: tuple[str, ...] = ("slug", "cve")) -> DataFrame:
     """Records with their manifest's columns, which win; blank or repeated keys and unknown manifest rows are errors."""
     blank = records.where(" OR ".join(f"{k} IS NULL OR trim({k}) = ''" for k in keys)).limit(1).count()
