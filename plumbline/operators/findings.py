@@ -71,7 +71,7 @@ def ranked(rows: DataFrame, score: F.Column | None = None, even: bool = False) -
     """``rows`` with ``score`` and ``rk``, the 1-based rank inside (record, tool); ties keep the tool's own order, then the id.
 
     The plain form is a window, which the optimiser prunes where only first ranks are asked for; ``even`` spreads
-    hot groups over the tasks and is for full rankings.
+    hot groups over the tasks and is for full rankings; as it writes its rows, select the columns that are needed first.
     """
     scored = rows.withColumn("score", F.round(exploitability() if score is None else score, 9))
     if even:

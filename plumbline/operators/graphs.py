@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from plumbline.session import cut, stored
 
 
-def closure(edges: DataFrame, rounds: int = 64) -> tuple[DataFrame, dict]:
+def closure(edges: DataFrame, rounds: int | None = None) -> tuple[DataFrame, dict]:
     """(node, ancestor, depth) for all ancestors of (child, parent) edges, and how the fixpoint ended.
 
-    Semi-naive: a round joins only what the last one found. Cycles end because a pair is kept at its first depth.
+    Semi-naive: a round joins only what the last one found. Cycles end because a pair is kept at its first depth, so
+    the fixpoint is always reached; ``rounds`` may end it earlier, which the second value tells.
     """
     base = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("node IS NOT NULL AND ancestor IS NOT NULL AND node <> ancestor").distinct()
     known = stored(base.withColumn("depth", F.lit(1)), "closure")
     delta, n = known, 1
-    while n < rounds:
+    while rounds is None or n < rounds:
         step = delta.alias("d").join(base.alias("b"), F.col("d.ancestor") == F.col("b.node")).select(F.col("d.node").alias("node"), F.col("b.ancestor").alias("ancestor")).where("node <> ancestor").distinct()
         delta = stored(step.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(n + 1)), "closure")
         if delta.isEmpty():

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import cut
+from plumbline.session import stored
 
 
 def spread_rank(df: DataFrame, keys: Sequence[str], order: Column, out: str, buckets: int = 64, tie: Sequence[str] = ()) -> DataFrame:
@@ -40,7 +40,7 @@ def even_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out:
     spark = df.sparkSession
     n = parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     by = [*[F.col(k) for k in keys], *order]
-    laid = cut(df.repartitionByRange(n, *by).withColumn("__part", F.spark_partition_id()))
+    laid = stored(df.repartitionByRange(n, *by).withColumn("__part", F.spark_partition_id()), "ranked")
     local = laid.withColumn("__r", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order)))
     sizes = laid.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

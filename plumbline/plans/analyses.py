@@ -269,7 +269,8 @@ _EDGES = "SELECT DISTINCT lower(slug) AS child, lower(renamed_from) AS parent FR
 @query(with_bases("SELECT finding_id, rkey, tool, score, rk FROM RK", "F", "RK"))
 def k01_ranked(spark, folder):
     """Every finding's place in its record's and tool's ranking."""
-    return base.ranked(base.findings(spark, folder), even=True).select("finding_id", "rkey", "tool", "score", "rk")
+    rows = base.findings(spark, folder).select("finding_id", "rkey", "tool", "rank", "ep", "inter", "conf", "deficit")
+    return base.ranked(rows, even=True).select("finding_id", "rkey", "tool", "score", "rk")
 
 
 @query(with_bases("SELECT finding_id, rank() OVER (PARTITION BY tool ORDER BY conf) + (count(*) OVER (PARTITION BY tool, conf) - 1) / 2.0 AS mid_rank FROM F WHERE conf IS NOT NULL", "F"))

@@ -112,3 +112,23 @@ def test_allocation_and_exact_flips(spark):
     assert sign_flip(spark.createDataFrame([(0,)], "d long")).first().p == 1.0
     with pytest.raises(ValueError):
         unique(sizes(1).union(sizes(2)), "id")
+
+
+def test_access_scores_with_their_points(spark):
+    from plumbline.sources import tools
+
+    def one(rule, access, source="", sink="", paths=("", "")):
+        return {"check_id": rule, "path": "t/a.php", "start": {"line": 3}, "extra": {"context": {"access": access}, "dataflow_trace": {"source": {"path": paths[0], "line": 1, "snippet": source}, "sink": {"path": paths[1] or "t/a.php", "line": 9, "snippet": sink}}}}
+
+    cases = [
+        (one("render-callback-execution", "unknown", "apply_filters( apply_filters_deprecated( prepare_post_data("), 200 + 160 + 48, ["rce"]),
+        (one("render-callback-execution", "", "x apply_filters_deprecated("), 100 + 80, ["rce"]),
+        (one("wp-stored-xss-persistent-read-to-output", "authenticated", "", 'href="<?php echo $x'), 400 + 112 + 48, ["xss"]),
+        (one("path-transversal", "nonce_only", "$_GET['file_path']", "", ("t/b.php", "t/a.php")), 600 + 96 + 40 + 32, ["lfi"]),
+        (one("unsafe-deserialization", "unauthenticated", " Function f("), 1000 - 128, ["deserial"]),
+        (one("upload-api-surface", "capability_checked"), 50 - 150, ["upload"]), (one("wp-request-file-upload-without-cap-check", "unknown"), 200, ["auth", "upload"]), (one("some-exec-rule", "unknown"), 200, ["rce"]),
+    ]
+    raw = spark.createDataFrame([("r", json.dumps({"results": [c[0] for c in cases]}))], "record string, body string")
+    rows = tools.access_scorer(raw).collect()
+    assert sorted((r.score, r.classes) for r in rows) == sorted((s, k) for _, s, k in cases)
+    assert [r.score for r in sorted(rows, key=lambda r: r["rank"])] == sorted((s for _, s, _ in cases), reverse=True) and all(r.line == 9 for r in rows)
