@@ -33,7 +33,7 @@ def mix(docs: DataFrame, planned: DataFrame, seed: int = 11) -> DataFrame:
     once, into slices; there they meet the mixes, whose table is small.
     """
     asked = stored(planned.where("rate > 0").select("mix_id", "source", "rate"), "mixes")
-    parts = dealt(docs.select("doc_id", "source", "tokens"), ["doc_id"], seed).join(asked, "source")
+    parts = dealt(docs.select("doc_id", "source", "tokens"), ["doc_id"], seed, balance="tokens").join(asked, "source")
     parts = parts.select("mix_id", "source", "doc_id", "tokens", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"), "__slice")
     rounded = round_groups(parts, ["mix_id", "source"], "part", ["doc_id"], seed, balance="tokens")
     return rounded.select("mix_id", "source", "doc_id", "tokens", (F.col("whole") + F.col("up")).alias("copies")).where("copies > 0")

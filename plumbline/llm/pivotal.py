@@ -55,15 +55,22 @@ def duel(group: np.ndarray, p: np.ndarray, key: np.ndarray, salt: int) -> np.nda
         turn += 1
 
 
-def dealt(df: DataFrame, ident: Sequence[str], seed: int, slices: int = SLICES) -> DataFrame:
+def dealt(df: DataFrame, ident: Sequence[str], seed: int, slices: int = SLICES, balance: str | None = None) -> DataFrame:
     """``df`` shuffled into ``__slice``, a hash of the columns that name a unit.
 
+    With ``balance`` slices are for units of about the same size (by powers of the root of two), so that the tree
+    first joins slices of one size and then those of neighbouring sizes; as many as ``FAN`` sizes are told apart.
     Units that are multiplied afterwards (once for each plan or mix) by a join with a small table keep this
     layout, so ``round_groups`` needs no shuffle of the multiplied rows.
     """
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.withColumn("__slice", F.pmod(F.xxhash64(F.lit(seed), *ident), F.lit(slices)).cast("int")).repartition(n, "__slice")
+    h = F.xxhash64(F.lit(seed), *ident)
+    at = F.pmod(h, F.lit(slices))
+    if balance and slices > FAN:
+        step = F.least(F.floor(2 * F.log2(F.greatest(F.coalesce(F.col(balance).cast("double"), F.lit(0.0)), F.lit(0.0)) + 1)), F.lit(FAN - 1))
+        at = step * (slices // FAN) + F.pmod(h, F.lit(slices // FAN))
+    return df.withColumn("__slice", at.cast("int")).repartition(n, "__slice")
 
 
 def _player(salt: int, last: bool, losers: bool):
@@ -92,15 +99,16 @@ def round_groups(df: DataFrame, groups: Sequence[str], part: str, ident: Sequenc
     ``ident`` (which names a row in its group) and duelled inside their slice; the one unit of a group that a
     slice leaves open goes on with those of ``fan`` slices to the next round of a tree, until one slice is left.
     No task gets a whole group, and a unit's draw depends neither on partitions nor on the number of rows.
-    Units meet in the order of ``balance`` (a number; nulls count as 0), so that mass moves between units of
-    about the same size and sums of that number are met closely, too; without it they meet in the order of a hash.
+    Units meet in the order of ``balance`` (a number; nulls count as 0), in slices and in the tree, so that mass
+    moves between units of about the same size and sums of that number are met closely, too; without it they meet
+    in the order of a hash.
     What is open in the end is duelled once more inside ``outer``, whose sums so stay right to one unit, and the
     last open unit is drawn by its own fraction. Null parts count as 0; rows that agree in groups and ident share
     one result. ``losers`` false leaves out rows that are not taken. An empty table gives none.
     """
     names = df.columns
     if "__slice" not in names:
-        df = dealt(df, ident, seed, slices)
+        df = dealt(df, ident, seed, slices, balance)
     keep = [c for c in names if c != "__slice"]
     weight = F.coalesce(F.col(balance).cast("double"), F.lit(0.0)) if balance else F.lit(0.0)
     rows = df.select(
@@ -116,7 +124,7 @@ def round_groups(df: DataFrame, groups: Sequence[str], part: str, ident: Sequenc
         if level:
             task = "__task"
             if n:
-                at = F.pmod("__slice", F.lit(n)) * BUCKETS
+                at = F.floor(F.col("__slice") / (slices // n)) * BUCKETS
             else:
                 rows, at = rows.withColumn("__g", F.xxhash64(*outer)), F.lit(0)
             rows = rows.withColumn(task, (at + F.pmod("__g", F.lit(BUCKETS))).cast("int"))

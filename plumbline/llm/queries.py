@@ -138,4 +138,37 @@ def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(spark, folder).select("doc_id", "slug", F.round("page", 4).alias("page"), F.round("host_rate", 4).alias("host_rate"), F.round("score", 4).alias("score"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_sample, p4_found, p4_kinds, p5_found, p5_faults, p5_languages, p5_rates, p6_found, p6_sample, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares, p9_found, p9_scores)}
+def p2_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the splits: all records in one, no group divided, each share as near to its target as a whole group allows."""
+    done = stored(p2_splits(spark, folder), "splits")
+    groups = done.groupBy("group_id").agg(F.count_distinct("split").alias("splits"), F.count(F.lit(1)).alias("size"))
+    n = done.groupBy().agg(F.count(F.lit(1)).alias("records"), F.count_distinct("record_id").alias("distinct_records"), *[F.count_if(F.col("split") == x).alias(x) for x in ("test", "validation")])
+    g = groups.agg(F.count_if(F.col("splits") > 1).alias("divided"), F.count_if(F.col("size") == 1).alias("single"))
+    near = lambda x: (F.abs(F.col(x) - F.round(F.col("records") * 0.1)) <= F.when(F.col("single") > 0.2 * F.col("records"), 0).otherwise(1)).alias(f"{x}_near")
+    return n.crossJoin(F.broadcast(g)).select("records", "distinct_records", "divided", near("test"), near("validation"))  # one row each
+
+
+def p3_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Plans without a gap: the size they ask for (their floors' sum where that is more), and whether the sample has it to one row."""
+    told = targets.report(targets.plans_of(spark, folder), targets.cells(targets.units(spark, folder)))
+    whole = told.groupBy("plan_id").agg(F.bool_or("unmet").alias("gap"), F.round(F.greatest(F.sum("target"), F.sum("floor"))).cast("long").alias("asked")).where("NOT gap")
+    n = p3_sample(spark, folder).groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"))
+    return whole.join(n, "plan_id", "left").select("plan_id", "asked", (F.abs(F.coalesce("n", F.lit(0)) - F.col("asked")) <= 1).alias("kept"))
+
+
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the sample: every earlier finding is in it, and the rate is met within four standard deviations."""
+    rows = stable.sampled_findings(spark, folder).groupBy("finding_id").agg(F.max("by_rate").alias("by_rate"), F.max("by_earlier").alias("by_earlier"), F.max("selected").alias("selected"))
+    n = rows.agg(F.count(F.lit(1)).alias("findings"), F.count_if("by_earlier").alias("earlier"), F.count_if(F.col("by_earlier") & ~F.col("selected")).alias("lost"), F.count_if("by_rate").alias("r"))
+    return n.select("findings", "earlier", "lost", (F.abs(F.col("r") - 0.05 * F.col("findings")) <= 4 * F.sqrt(0.05 * 0.95 * F.col("findings"))).alias("rate_met"))
+
+
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every target of every mix, whether no text is used more often than allowed, and whether the tokens given are met to two texts."""
+    mixed, planned = _mixed(spark, folder)
+    most = mixed.groupBy("mix_id", "source").agg(F.max("copies").alias("copies"), F.max("tokens").alias("longest"))
+    rows = mixing.shares(mixed, planned).join(planned.select("mix_id", "source", "max_repeats"), ["mix_id", "source"]).join(most, ["mix_id", "source"], "left")
+    return rows.select("mix_id", "source", (F.coalesce("copies", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), (F.abs(F.col("tokens") - F.col("given")) <= 2 * F.coalesce("longest", F.lit(0)) + 1).alias("met"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p2_checks, p3_found, p3_sample, p3_checks, p4_found, p4_kinds, p5_found, p5_faults, p5_languages, p5_rates, p6_found, p6_sample, p6_checks, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares, p8_checks, p9_found, p9_scores)}

