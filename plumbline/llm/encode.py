@@ -29,7 +29,7 @@ PATTERN = (
     r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 )
 
-BUCKETS, WORD_BUCKETS = 2048, 8192
+BUCKETS, WORD_BUCKETS = 2048, 2048
 NO_MERGE = 2**31 - 1
 
 
