@@ -103,12 +103,12 @@ def _measures(spark, folder) -> DataFrame:
     of = lambda t, k: F.max(flag((c("tool") == t) & c("in_file") & (c("rk") <= k)))
     part = lambda t: (F.count_if((c("tool") == t) & c("in_file")), F.count_if(c("tool") == t))
     return rows.groupBy("slug", "rkey").agg(
-        of("wisp", 1).alias("a1"), of("wisp", 3).alias("a3"), part("wisp")[0].alias("ah"), part("wisp")[1].alias("an"),
+        of("wpt", 1).alias("a1"), of("wpt", 3).alias("a3"), part("wpt")[0].alias("ah"), part("wpt")[1].alias("an"),
         of("semgrep", 1).alias("b1"), of("semgrep", 3).alias("b3"), part("semgrep")[0].alias("bh"), part("semgrep")[1].alias("bn"))
 
 
 _RECORDS = """SELECT k.slug, k.rkey, {0} FROM RK k JOIN GEO g ON g.finding_id = k.finding_id GROUP BY k.slug, k.rkey""".format(", ".join(
-    f"max(CASE WHEN k.tool = '{t}' AND g.in_file AND k.rk <= 1 THEN 1 ELSE 0 END) AS {x}1, max(CASE WHEN k.tool = '{t}' AND g.in_file AND k.rk <= 3 THEN 1 ELSE 0 END) AS {x}3, count(*) FILTER (WHERE k.tool = '{t}' AND g.in_file) AS {x}h, count(*) FILTER (WHERE k.tool = '{t}') AS {x}n" for t, x in (("wisp", "a"), ("semgrep", "b"))))
+    f"max(CASE WHEN k.tool = '{t}' AND g.in_file AND k.rk <= 1 THEN 1 ELSE 0 END) AS {x}1, max(CASE WHEN k.tool = '{t}' AND g.in_file AND k.rk <= 3 THEN 1 ELSE 0 END) AS {x}3, count(*) FILTER (WHERE k.tool = '{t}' AND g.in_file) AS {x}h, count(*) FILTER (WHERE k.tool = '{t}') AS {x}n" for t, x in (("wpt", "a"), ("semgrep", "b"))))
 _SUMS = "a1 a3 ah an b1 b3 bh bn".split()
 _CLUSTERS = "SELECT {key}, count(*) AS n, " + ", ".join(f"sum({x}) AS {x}" for x in _SUMS) + ", row_number() OVER (ORDER BY {key}) - 1 AS i FROM ({rows}) GROUP BY {key}"
 _REPS = "SELECT rep, sum(n) AS n, " + ", ".join(f"sum({x}) AS {x}" for x in _SUMS) + f""" FROM ({{clusters}}) c JOIN (SELECT rep, {_DRAW.format("'{seed}|' || rep || '|' || slot")} % k AS i FROM (SELECT count(*) AS k FROM ({{clusters}})), range(0, {REPLICATES}) r(rep), LATERAL (SELECT unnest(range(0, k)) AS slot)) d USING (i) GROUP BY rep"""
