@@ -26,7 +26,7 @@ def stars(keyed: DataFrame, node: str, key: str) -> DataFrame:
     """
     rows = keyed.where(F.col(node).isNotNull() & F.col(key).isNotNull()).select(F.col(node).alias("u"), F.col(key).alias("k"))
     least = rows.groupBy("k").agg(F.min("u").alias("v"))
-    return salted_lookup(rows, least, "k", F.xxhash64("u"), SALTS, "inner").select("u", "v").where("u <> v").distinct()
+    return salted_lookup(rows, least, "k", F.xxhash64("u"), SALTS, "inner", merge=True).select("u", "v").where("u <> v").distinct()
 
 
 def flat(hooks: DataFrame, name: str) -> DataFrame:
@@ -36,7 +36,7 @@ def flat(hooks: DataFrame, name: str) -> DataFrame:
     """
     while True:
         up = hooks.select(F.col("hi").alias("lo"), F.col("lo").alias("__up"))
-        jump = lambda df: salted_lookup(df, up, "lo", F.xxhash64("hi"), SALTS).select("hi", F.coalesce("__up", "lo").alias("lo"), F.col("__up").isNotNull().alias("moved"))
+        jump = lambda df: salted_lookup(df, up, "lo", F.xxhash64("hi"), SALTS, merge=True).select("hi", F.coalesce("__up", "lo").alias("lo"), F.col("__up").isNotNull().alias("moved"))
         jumped = stored(jump(jump(hooks).drop("moved")), name)
         hooks, moved = jumped.select("hi", "lo"), jumped.where("moved").limit(1).count()
         if not moved:
@@ -58,13 +58,13 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
     while left.limit(1).count():
         hooks = flat(left.groupBy("hi").agg(F.min("lo").alias("lo")), "hooks")
         rounds.append(hooks)
-        at = lambda df, c: salted_lookup(df, hooks.select(F.col("hi").alias(c), F.col("lo").alias("__to")), c, F.xxhash64("hi", "lo"), SALTS).withColumn(c, F.coalesce("__to", c)).drop("__to")  # noqa: B023, E731
+        at = lambda df, c: salted_lookup(df, hooks.select(F.col("hi").alias(c), F.col("lo").alias("__to")), c, F.xxhash64("hi", "lo"), SALTS, merge=True).withColumn(c, F.coalesce("__to", c)).drop("__to")  # noqa: B023, E731
         left = stored(at(at(left, "hi"), "lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).where("hi <> lo").distinct(), "edges")
     alone = nodes.select(F.col(node).alias("node")).where("node IS NOT NULL").distinct()
     if not rounds:
         return alone.withColumn("root", F.col("node"))
     forest = rounds[0] if len(rounds) == 1 else flat(reduce(DataFrame.unionByName, rounds), "forest")
-    return salted_lookup(alone.withColumn("hi", F.col("node")), forest, "hi", F.xxhash64("node"), 1).select("node", F.coalesce("lo", "node").alias("root"))
+    return salted_lookup(alone.withColumn("hi", F.col("node")), forest, "hi", F.xxhash64("node"), 1, merge=True).select("node", F.coalesce("lo", "node").alias("root"))
 
 
 def nearest(reach: int, target: int) -> int:
@@ -75,7 +75,7 @@ def nearest(reach: int, target: int) -> int:
     return low if high is None or target - low <= high - target else high
 
 
-def take_sizes(sizes: dict[int, int], target: int, exact: int = 1 << 30) -> dict[int, int]:
+def take_sizes(sizes: dict[int, int], target: int, exact: int = 1 << 27) -> dict[int, int]:
     """How many groups of each size to take so that their sizes sum up as near to ``target`` as can be.
 
     Subset sums are bitsets in one integer each, a size's multiplicity being cut into powers of two. The way back
@@ -139,7 +139,7 @@ def split_groups(groups: DataFrame, shares: dict[str, float], rest: str = "train
     ranked = spread_rank(sizes, ["size"], F.xxhash64("root"), "place", tie=["root"])
     ruled = ranked.join(plan, (ranked["size"] == plan["size"]) & (F.col("place") > F.col("after")) & (F.col("place") <= F.col("upto")), "left")
     named = ruled.select("root", F.coalesce("split", F.lit(rest)).alias("split"))
-    return salted_lookup(groups, named, "root", F.xxhash64("node"), SALTS)
+    return salted_lookup(groups, named, "root", F.xxhash64("node"), SALTS, merge=True)
 
 
 def record_groups(spark, folder: str) -> DataFrame:

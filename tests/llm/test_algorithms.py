@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, splits, stable, targets, topn
+from plumbline.llm import mixing, queries, splits, stable, targets, topn
 from plumbline.llm.pivotal import duel, round_groups
 
 
@@ -218,3 +218,14 @@ def test_mixes_meet_their_shares(spark, small):
     assert {(r.mix_id, r.source) for r in rows if r.unmet} == {tuple(r) for r in QUERIES["p8_found"](spark, small).collect()}
     caps = planned.select("mix_id", "source", "max_repeats")
     assert mixed.join(caps, ["mix_id", "source"]).where("copies > max_repeats").count() == 0
+
+
+def test_components_send_no_table_to_the_driver(spark, small):
+    """Files of a few KB are below any threshold of size, but their copies in memory grow with the records."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    done = store.executionsCount()
+    assert queries.p2_found(spark, small).count() > 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = store.executionsList(done, 1000)
+    texts = [plans.apply(i).physicalPlanDescription() for i in range(plans.size())]
+    assert any("SortMergeJoin" in x for x in texts) and not any("BroadcastHashJoin" in x for x in texts)
